@@ -1,10 +1,57 @@
-"""Corpus pipeline."""
+"""From raw documents to shards of a training mix, in five stages.
+
+Quality rules reject documents, near-duplicate groups keep one document, documents that hold test
+items go, sources are mixed to their target weights (documents repeat or drop out), and the rest is
+dealt over shards. Each stage takes (spark, docs, sf_dir), works on all that the one before kept
+and returns the columns of documents, the last one more. A stage's rows are written as Parquet in
+the folder that the cluster shares and read again, so a lost executor costs no earlier stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewright.llm import decontaminate, mixing, rules, sharding, simhash
+from tracewright.llm.common import fresh_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_rows(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.place(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: SQL has no way to fit and apply the first stage's trees; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last stage's rows, read from the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = fresh_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op6_decontamination
+from .mixing import op5_mixing
+from .quality import op1_quality_classifier
+from .rules import op3_quality_rules
+from .sharding import op7_sharding
 from .simhash import op2_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_simhash_near_dedup,
+        op3_quality_rules,
+        op5_mixing,
+        op6_decontamination,
+        op7_sharding,
+    )
+}
+ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE}
