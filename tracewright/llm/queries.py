@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import decontaminate
 from .decontaminate import op6_decontamination
+from .licenses import op8_license_scan
+from .lm import op9_lm_scoring
 from .mixing import op5_mixing
 from .quality import op1_quality_classifier
 from .rules import op3_quality_rules
@@ -19,6 +21,8 @@ QUERIES = {
         op5_mixing,
         op6_decontamination,
         op7_sharding,
+        op8_license_scan,
+        op9_lm_scoring,
     )
 }
 ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE}
