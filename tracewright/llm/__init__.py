@@ -1 +1,9 @@
-"""Operators for corpora of training data. Nothing else in the library imports this subpackage."""
+"""Operators for corpora of training data. Nothing else in the library imports this subpackage.
+
+Its functions travel to the executors by value, so the package need not be installed there."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate
 from .decontaminate import op6_decontamination
+from .html import op4_html_extraction
 from .licenses import op8_license_scan
 from .lm import op9_lm_scoring
 from .mixing import op5_mixing
@@ -11,6 +12,7 @@ from .quality import op1_quality_classifier
 from .rules import op3_quality_rules
 from .sharding import op7_sharding
 from .simhash import op2_simhash_near_dedup
+from .warc import op10_warc
 
 QUERIES = {
     f.__name__: f
@@ -18,11 +20,13 @@ QUERIES = {
         op1_quality_classifier,
         op2_simhash_near_dedup,
         op3_quality_rules,
+        op4_html_extraction,
         op5_mixing,
         op6_decontamination,
         op7_sharding,
         op8_license_scan,
         op9_lm_scoring,
+        op10_warc,
     )
 }
 ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE}
