@@ -1 +1 @@
-
+"""The service's calls and the registered queries."""
