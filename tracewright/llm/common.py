@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
+
 #: A word: code points that are no ASCII white space. No other white space divides words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,25 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (one machine, as in tests), a new temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tracewright-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df in the shared folder, without df's lineage, whole if an executor is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find and delete the shuffle files of plans that nothing refers to any
+    more (it goes by the JVM's garbage collection, which may be long in coming)."""
+    import gc
+    import time
+
+    for _ in range(2):  # what the first round frees may be the last to refer to a shuffle
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:

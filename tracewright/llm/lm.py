@@ -16,11 +16,13 @@ blocks, then for all. Documents with text over whole blocks, tables of hashes an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, table
+from .common import cut, fold, release, table
 
 DELETE_EVERY = 7
 BIN = 20  # of a decade of probability, in EM's histogram
@@ -38,30 +40,43 @@ class Block:
 
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-        flat, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-        coded = flat.filter(pa.array(full)).dictionary_encode()
-        types = [xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.cast(pa.large_binary()).to_pylist()] + [xxhash.xxh3_64_intdigest(END)]
-        n_docs, end = len(texts), len(types) - 1
-        self.doc_sizes = np.bincount(doc[full], minlength=n_docs).astype(np.int64) + 1
-        last = np.cumsum(self.doc_sizes) - 1
-        ids = np.full(int(self.doc_sizes.sum()), end, np.int64)
+        full = pc.not_equal(lists.flatten(), "").to_numpy(zero_copy_only=False)
+        doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[full]
+        self.doc_sizes = np.bincount(doc, minlength=len(texts)).astype(np.int64) + 1
+        del doc
+        coded = lists.flatten().filter(pa.array(full)).dictionary_encode()
+        del lists, full
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in (*coded.dictionary.cast(pa.large_binary()).to_pylist(), END)), np.uint64)
+        kinds, end = len(hashes), len(hashes) - 1
+        ids = np.full(int(self.doc_sizes.sum()), end, np.int32)
         inner = np.ones(len(ids), bool)
-        inner[last] = False
+        inner[np.cumsum(self.doc_sizes) - 1] = False
         ids[inner] = coded.indices.to_numpy(zero_copy_only=False)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[:1] = end
-        self.ids, self.before = ids, before  # the first word of a document follows an end
-        self.trained = trained = np.repeat(train, self.doc_sizes)
-        hashes = np.array(types, np.uint64)
-        pairs, self.pair = np.unique(before * len(types) + ids, return_inverse=True)
-        self.own_words = np.bincount(ids[trained], minlength=len(types))
-        self.own_pairs = np.bincount(self.pair[trained], minlength=len(pairs))
-        first, second = hashes[pairs // len(types)], hashes[pairs % len(types)]
-        mixed = first * np.uint64(0x9E3779B97F4A7C15) + second
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        self.sides = [self._order(hashes, parts), self._order(mixed ^ (mixed >> np.uint64(32)), parts)]
+        del coded, inner
+        self.ids, self.kinds = ids, kinds
+        self.trained = np.repeat(train, self.doc_sizes)
+        self.own_words = np.bincount(ids[self.trained], minlength=kinds)
+        ordered = self.pairs() * 2 + self.trained  # the lowest bit counts in training
+        ordered.sort()
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] >> 1 != ordered[:-1] >> 1))) if len(ordered) else np.zeros(0, np.int64)
+        self.own_pairs = np.add.reduceat(ordered & 1, first) if len(first) else first
+        self.kept_pairs = ordered[first] >> 1
+        del ordered, first
+        mixed = hashes[self.kept_pairs // kinds] * np.uint64(0x9E3779B97F4A7C15)
+        mixed += hashes[self.kept_pairs % kinds]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        self.sides = [self._order(hashes, parts), self._order(mixed, parts)]
+
+    def before(self) -> np.ndarray:
+        """The word before each token; the first word of a document follows an end."""
+        out = np.empty_like(self.ids)
+        out[1:], out[:1] = self.ids[:-1], self.kinds - 1
+        return out
+
+    def pairs(self) -> np.ndarray:
+        return self.before().astype(np.int64) * self.kinds + self.ids
 
     @staticmethod
     def _order(keys: np.ndarray, parts: int) -> tuple:
@@ -151,26 +166,35 @@ def _bins(p: np.ndarray) -> np.ndarray:
 
 
 def _estimates(block: Block, words: np.ndarray, pairs: np.ndarray, total: int) -> tuple:
-    context = words[block.before]
-    pair = pairs[block.pair] / np.maximum(context, 1)
+    context = words[block.before()]
+    pair = pairs[np.searchsorted(block.kept_pairs, block.pairs())] / np.maximum(context, 1)
     return context, pair, words[block.ids] / max(total, 1)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame | Callable[[], DataFrame], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    docs may be a function that gives the rows anew: the passes' plans then share nothing, and the
+    shuffle files of one can be deleted before the next begins.
+
     Documents whose crc32 of the id mod 7 is 2 are held out of all counts. A null or empty text is
     its end token alone; rows with equal ids are documents of their own and all count; a null id
     counts as the empty id for held_out. Where no document trains, every token is unknown. Extra
     columns are not read. An empty table gives no rows."""
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), (fold(F.col(id_col), 7) == 2).alias("held_out"))
-    id_type = dict(rows.dtypes)["doc_id"]
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
-    blocks = max(-(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // 50_000), 1)
+    def rows() -> DataFrame:
+        found = docs() if callable(docs) else docs
+        return found.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), (fold(F.col(id_col), 7) == 2).alias("held_out"))
+
+    spark = SparkSession.active()
+    id_type = dict(rows().dtypes)["doc_id"]
+    size = rows().agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    blocks = max(-(-size // block_bytes), min(spark.sparkContext.defaultParallelism, size // 50_000), 1)
     parts = 2 * blocks
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+    def dealt() -> DataFrame:
+        return rows().withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def block_of(texts: pa.Table) -> Block:
         return Block(texts["text"], ~texts["held_out"].to_numpy().astype(bool), parts)
@@ -189,8 +213,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             ["b", "p", "counts", "tokens", "types"],
         )
 
-    asked = dealt.groupBy("b").applyInArrow(ask, "b int, p int, keys binary, counts binary, n_words long")
-    answers = cut(asked.groupBy("p").applyInArrow(reply, "b int, p int, counts binary, tokens long, types long"))
+    def round_trip() -> DataFrame:
+        asked = dealt().groupBy("b").applyInArrow(ask, "b int, p int, keys binary, counts binary, n_words long")
+        return cut(asked.groupBy("p").applyInArrow(reply, "b int, p int, counts binary, tokens long, types long"))
+
+    answers = round_trip()
+    release(spark)
     known = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     n_train, n_types = known["tokens"] or 0, known["types"] or 0
     zero = 1 / (n_types + 1)
@@ -208,16 +236,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         return pa.table([*(pa.array(cells[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], ["bucket", "pair", "word", "n"])
 
     some = F.col("b") % DELETE_EVERY == 0
-    cells = dealt.where(some).groupBy("b").cogroup(answers.where(some).groupBy("b")).applyInArrow(deleted, "bucket long, pair long, word long, n long")
+    cells = dealt().where(some).groupBy("b").cogroup(answers.where(some).groupBy("b")).applyInArrow(deleted, "bucket long, pair long, word long, n long")
     weights = learn([tuple(r) for r in cells.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()], zero)
+    del cells
+    release(spark)
 
     def scored(texts: pa.Table, replies: pa.Table) -> pa.Table:
         block = block_of(texts)
         words, pairs = block.counts(held(replies))
         context, pair, word = _estimates(block, words, pairs, n_train)
-        mix = weights[bucket(context)]
+        of = bucket(context)
+        mixed = weights[of, 0] * pair + weights[of, 1] * word + weights[of, 2] * zero
         starts = np.concatenate(([0], np.cumsum(block.doc_sizes)[:-1]))
-        sums = [np.add.reduceat(x, starts) for x in (np.log10((words[block.ids] + 1) / (n_train + n_types + 1)), np.log10(mix[:, 0] * pair + mix[:, 1] * word + mix[:, 2] * zero), (words[block.ids] > 0).astype(np.int64))]
+        sums = [np.add.reduceat(x, starts) for x in (np.log10((words[block.ids] + 1) / (n_train + n_types + 1)), np.log10(mixed), (words[block.ids] > 0).astype(np.int64))]
         n = texts.num_rows
         return pa.table(
             [texts["doc_id"], texts["held_out"], pa.array(block.doc_sizes), pa.array(sums[2]), pa.array(np.full(n, n_train, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
@@ -225,8 +256,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         )
 
     made = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(scored, made)
+    return dealt().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(scored, made)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(lambda: table(spark, sf_dir, "documents"))
