@@ -120,7 +120,7 @@ NOTICES = [
 ]
 
 #: A text with none of these holds no match of any rule.
-ANCHORS = ["licen", "reserved", "copyright", "public", "under", "spdx", "covered", "subject", "governed", "according", "granted", "permission", "redistrib", "beer", "proprietary", "unauthori", "cc"]
+ANCHORS = ["licen", "reserved", "copyright", "public", "under", "spdx", "covered", "subject", "governed", "according", "granted", "permission", "redistrib", "buy", "proprietary", "unauthori", "cc"]
 
 
 def rules() -> list[dict]:

@@ -14,11 +14,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, n_pieces, table
 from .license_rules import ANCHORS, rules
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-ANY_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # the same before A-Z are lower case
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # between words, before A-Z are lower case
 
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -73,8 +72,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gate = F.lit(False)
     for anchor in ANCHORS:
         gate = gate | F.contains("low", F.lit(anchor))
-    low = low.select("doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when(gate, F.col("text")).alias("close"))
-    ws = low.withColumn("ws", F.when(F.col("close").isNotNull(), F.regexp_extract_all(F.translate("close", UPPER, LOWER), F.lit(WORD), 0)))
+    low = low.select("doc_id", n_pieces(F.col("text"), BETWEEN).alias("n_words"), F.when(gate, F.col("text")).alias("close"))
+    ws = low.withColumn("ws", F.when(F.col("close").isNotNull(), F.filter(F.split(F.translate("close", UPPER, LOWER), BETWEEN, -1), lambda w: w != "")))
     norm = ws.withColumn("norm", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")))
     base = norm.select(
         "doc_id", "n_words", *[F.when(F.col("norm").isNotNull(), _places(p)).alias(label) for p, label in PHRASES.items()],
