@@ -122,6 +122,57 @@ def test_search_against_all_choices():
         assert solver._search(weights, equations) == best
 
 
+def layered(rng):
+    """A small program with the layers of a flow graph, without cycles."""
+    weights, rows, into, sink = [], [], [], {}
+
+    def var():
+        weights.append(rng.randint(0, 64) / 64)
+        return len(weights) - 1
+
+    clusters = [[] for _ in range(rng.randint(1, 3))]
+    for _ in range(rng.randint(1, 3)):
+        free = rng.random() < 0.4
+        out = [var() for _ in range(rng.randint(1, 3))]
+        for o in out:
+            if rng.random() < 0.6:
+                x = var()
+                clusters[rng.randrange(len(clusters)) if free or len(clusters) == 1 else rng.randrange(1, len(clusters))].append(x)
+                rows.append({o: 1, x: -1})
+        if not free:
+            a, b = var(), var()
+            rows.append({a: 1, b: 1, **dict.fromkeys(out, -2)})
+            into.append(a)
+    made = []
+    for c in clusters:
+        if c:
+            made.append(var())
+            rows.append({**dict.fromkeys(c, 1), made[-1]: -1})
+    k = min(1, len(made)) if clusters[0] else 0
+    if k and into:
+        rows.append({made[0]: len(into), **dict.fromkeys(into, -1)})
+    return weights, rows, dict.fromkeys(made[k:], 1)
+
+
+def test_networks_against_search():
+    from tracewright.operators.network import heaviest
+
+    rng, compared = random.Random(7), 0
+    for _ in range(300):
+        weights, rows, sink = layered(rng)
+        for units in (0, 1) if sink else (0,):
+            found = heaviest(weights, rows, sink, units)
+            if found is None or len(weights) > 16:
+                continue
+            best = solver._search(weights, [*((r, 0) for r in rows), *([(sink, units)] if sink else [])])
+            assert (best is None) == (found is False)
+            if found:
+                assert found[0] == best[0] == sum(weights[v] for v in found[1])
+                assert all(sum(c * (v in found[1]) for v, c in r.items()) == 0 for r in rows)
+                compared += 1
+    assert compared > 100
+
+
 def test_engine(spark):
     jobs = [{"_id": "r1", "input_dsars": ["s0"], "output_dsir": "j", "model_type": "m", "relevance": 0.5}]
     t = tables(spark, [record("j", JG, children=["p"]), record("p", PSM, ["j"], dsar="g")], [group("s0", AM, [], "undefined"), group("g", PSM, ["p"])], jobs)

@@ -2,8 +2,8 @@
 
 A hyperedge is crossed as a point of its own (source to edge, edge to its sources and its
 destination), which is linear in its sources; pairs of sources are never built. Each round joins
-the nodes found last with the incidences, drops what is known and is cut to the shared folder, so
-every node is expanded once, whatever the number of paths to it.
+the nodes found last with the incidences for a few steps, drops what is known and is cut to the
+shared folder, so the work does not grow with the number of paths to a node.
 """
 
 from __future__ import annotations
@@ -20,16 +20,23 @@ def _start(df: DataFrame, node_id: str, node_type: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(node_id, node_type)], "node_id string, node_type string")
 
 
-def _closure(start: DataFrame, step, max_rounds: int) -> DataFrame:
-    """(node_id, node_type, depth): start at depth 0 and all that step reaches."""
+def _closure(start: DataFrame, step, max_rounds: int, burst: int = 4) -> DataFrame:
+    """(node_id, node_type, depth): start at depth 0 and all that step reaches. A round takes
+    ``burst`` steps before it drops what is known, so a deep graph needs few jobs; a node's depth is
+    the least of those at which it was met."""
     found = last = cut(start.withColumn("depth", F.lit(0)))
-    for depth in range(1, max_rounds + 1):
-        new = step(last.select(*NODE)).distinct().join(found.select(*NODE), NODE, "left_anti")
-        last = cut(new.withColumn("depth", F.lit(depth)))
+    for done in range(0, max_rounds, burst):
+        at, new = last.select(*NODE), None
+        for depth in range(done + 1, done + burst + 1):
+            at = step(at).distinct()
+            met = at.withColumn("depth", F.lit(depth))
+            new = met if new is None else new.unionByName(met)
+        new = cut(new.groupBy(*NODE).agg(F.min("depth").alias("depth")).join(found.select(*NODE), NODE, "left_anti"))
+        found = found.unionByName(new)
+        last = new.where(F.col("depth") == done + burst)
         if last.isEmpty():
             return found
-        found = found.unionByName(last)
-        if depth % 16 == 0:
+        if done // burst % 16 == 15:
             found = cut(found)
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
@@ -48,7 +55,7 @@ def forward(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_
     """The node and all nodes it led to: source to its edge, and the edge to its other sources and
     its destination."""
     entry = rows.select(F.col("src").alias("node_id"), F.col("src_type").alias("node_type"), "edge_ord")
-    exits = entry.unionByName(rows.select(F.col("dst").alias("node_id"), F.col("dst_type").alias("node_type"), "edge_ord").distinct())
+    exits = cut(entry.unionByName(rows.select(F.col("dst").alias("node_id"), F.col("dst_type").alias("node_type"), "edge_ord").distinct()))
 
     def step(last: DataFrame) -> DataFrame:
         return exits.join(entry.join(last, NODE).select("edge_ord").distinct(), "edge_ord").select(*NODE)
