@@ -185,5 +185,13 @@ def test_counts_as_bytes():
         assert lm.unpack(lm.pack(np.array(counts, np.int64))).tolist() == counts
 
 
+def test_keys_as_bytes():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), np.array([0, 0, 2**64 - 1], np.uint64), rng.integers(0, 2**64, 500, dtype=np.uint64), rng.integers(0, 900, 500, dtype=np.uint64)):
+        keys = np.sort(keys)
+        found, rest = lm.unpack_keys(lm.pack_keys(keys) + b"rest", len(keys))
+        assert found.tolist() == keys.tolist() and rest == b"rest"
+
+
 def test_no_texts_to_score(spark):
     assert lm.score(empty(spark)).count() == 0

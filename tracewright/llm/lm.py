@@ -7,11 +7,12 @@ counts: a seventh of the blocks of documents is scored with its own counts taken
 
 Counting and looking up are one round trip, and nothing that grows with the corpus is broadcast or
 collected. Documents are dealt by hash into blocks of about ``block_bytes``. A block sends each of
-its distinct words and word pairs once, as sorted 64-bit hashes with its training counts, packed by
-key range; a key range adds up what all blocks sent and answers each block in the order asked. The
-answers are cut to the shared folder and met again with their block's texts, first for the deleted
-blocks, then for all. Documents with text over whole blocks, tables of hashes and EM's histogram
-(bucket x two quantised probabilities) have fixed bounds; key ranges grow in number with the corpus.
+its distinct words and word pairs once, as sorted 64-bit hashes (their steps, in six bytes as a
+rule) with its training counts, packed by key range; a key range adds up what all blocks sent and
+answers each block in the order asked. The answers are cut to the shared folder and met again with
+their block's texts, first for the deleted blocks, then for all. A block, its tables of hashes and
+EM's histogram (bucket x two quantised probabilities) have fixed bounds; key ranges grow in number
+with the corpus.
 """
 
 from __future__ import annotations
@@ -80,11 +81,11 @@ class Block:
 
     @staticmethod
     def _order(keys: np.ndarray, parts: int) -> tuple:
-        """The keys by key range and value, and where each range begins: the same for the same
-        texts in any order."""
-        part = (keys >> np.uint64(20)) % np.uint64(parts)
-        order = np.lexsort((keys, part))
-        return keys, order, np.searchsorted(part[order], np.arange(parts + 1))
+        """The keys in order, which is by key range too, and where each range begins: the same for
+        the same texts in any order."""
+        order = np.argsort(keys, kind="stable")
+        part = ((keys[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        return keys, order, np.searchsorted(part, np.arange(parts + 1))
 
     def requests(self, parts: int):
         """(part, keys, counts, how many of them are words) of every key range that is asked."""
@@ -93,7 +94,7 @@ class Block:
             words, pairs = w_order[w_at[k] : w_at[k + 1]], p_order[p_at[k] : p_at[k + 1]]
             if len(words) or len(pairs):
                 counts = np.concatenate((self.own_words[words], self.own_pairs[pairs]))
-                yield k, np.concatenate((w[words], p[pairs])).tobytes(), pack(counts), len(words)
+                yield k, pack_keys(w[words]) + pack_keys(p[pairs]), pack(counts), len(words)
 
     def counts(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The corpus counts of the block's words and pairs, from each key range's answer."""
@@ -107,6 +108,23 @@ class Block:
         return words, pairs
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in order as their steps, each in as many bytes as the largest step needs."""
+    steps = np.diff(keys[1:], prepend=keys[:1]) if len(keys) > 1 else np.zeros(0, np.uint64)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return width.to_bytes(1, "little") + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    """(n keys, the bytes behind them)"""
+    width, first = data[0], np.frombuffer(data, np.uint64, min(n, 1), 1)
+    start = 1 + 8 * len(first)
+    end = start + width * max(0, n - 1)
+    steps = np.zeros((max(0, n - 1), 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, end - start, start).reshape(-1, width)
+    return np.cumsum(np.concatenate((first, steps.reshape(-1).view(np.uint64))), dtype=np.uint64), data[end:]
+
+
 def pack(counts: np.ndarray) -> bytes:
     """Counts as bytes: one each below 255, and the larger ones in full behind them."""
     big = counts >= 255
@@ -122,7 +140,10 @@ def unpack(data: bytes) -> np.ndarray:
 
 def answer(blocks: list[bytes], counts: list[bytes], n_words: list[int]) -> tuple[list[bytes], int, int]:
     """Each block's keys with the sums over all blocks; the training tokens and distinct words."""
-    keys, own = [np.frombuffer(x, np.uint64) for x in blocks], [unpack(x) for x in counts]
+    own, keys = [unpack(x) for x in counts], []
+    for data, c, n in zip(blocks, own, n_words, strict=True):
+        words, rest = unpack_keys(data, n)
+        keys.append(np.concatenate((words, unpack_keys(rest, len(c) - n)[0])))
     out, tokens, types = [np.zeros(len(k), np.int64) for k in keys], 0, 0
     for word in (True, False):
         parts = [slice(0, n) if word else slice(n, None) for n in n_words]
@@ -191,7 +212,7 @@ def score(docs: DataFrame | Callable[[], DataFrame], id_col: str = "doc_id", tex
     id_type = dict(rows().dtypes)["doc_id"]
     size = rows().agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
     blocks = max(-(-size // block_bytes), min(spark.sparkContext.defaultParallelism, size // 50_000), 1)
-    parts = 2 * blocks
+    parts = max(2 * blocks, min(256, size // 50_000), 1)  # narrow ranges make small steps
 
     def dealt() -> DataFrame:
         return rows().withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
