@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, free_name, row_key, table
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     if len(parts) <= shingle:
         return xxhash.xxh64_intdigest(joined, 42)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    n, del_ = len(parts) - shingle + 1, parts.clear()  # noqa: F841
+    n = len(parts) - shingle + 1
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     ends = ends[shingle - 1 :].tolist()
@@ -269,8 +269,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stay = prints.join(placed, "fp").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.k1").alias(k1), F.col("x.k2").alias(k2))
     keyed = docs.withColumns({k1: key[0], k2: key[1]})
     out = keyed.join(stay, [k1, k2], "left_semi")
-    from pyspark.sql import Window
-
     one = Window.partitionBy(k1, k2).orderBy(k1)
     return out.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
