@@ -240,8 +240,9 @@ def look_up(keys: DataFrame, folder: str, shards: list[tuple]) -> DataFrame:
     return ordered.mapInArrow(task, CAPTURE)
 
 
-def read_records(captures: DataFrame, folder: str, chunk_bytes: int = 32_000_000) -> DataFrame:
-    """The records of captures by range reads, neighbours of an archive in one task and in order."""
+def read_records(captures: DataFrame, folder: str, chunk_bytes: int = 8_000_000) -> DataFrame:
+    """The records of captures by range reads, neighbours of an archive in one task and in order.
+    Tasks go by the bytes to read, not by the size of the captures' own rows."""
     import pyarrow as pa
 
     made = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -253,8 +254,10 @@ def read_records(captures: DataFrame, folder: str, chunk_bytes: int = 32_000_000
             found = (archive.read([None, None, None, r["file"], r["offset"], r["length"]]) for r in batch.to_pylist())
             yield _batch([tuple(x[n] for n in names) for x in found], made)
 
+    captures = cut(captures)
+    size = captures.agg(F.sum("length")).first()[0] or 0
     chunk = F.floor(F.col("offset") / chunk_bytes)
-    dealt = captures.select("file", "offset", "length").repartition("file", chunk).sortWithinPartitions("file", "offset")
+    dealt = captures.select("file", "offset", "length").repartition(-(-size // chunk_bytes) or 1, "file", chunk).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(task, made)
 
 
