@@ -150,7 +150,7 @@ s1 AS (SELECT 1 AS stage, g.dsar_id AS key, 0 AS kind, 0::BIGINT AS nth, g.dsar_
 s2 AS (SELECT 2 AS stage, j.output_dsir AS key, 0 AS kind, j.job_id AS nth, j.output_dsir AS dst, 'dsir' AS dst_kind, 'job' AS dst_type, j.model_type AS dst_model, 'OR' AS edge_type,
   g.dsar_id AS src, 'dsar' AS src_kind, 'am' AS src_type, g.model_type AS src_model, i.pos AS pos, j.relevance AS weight FROM job j JOIN job_dsar i ON i.job_id = j.job_id JOIN dsar g ON g.dsar_id = i.dsar_id),
 member AS (SELECT g.dsar_id, g.model_type AS group_model, l.pos AS nth, d.* EXCLUDE (dsar_id) FROM dsar g JOIN dsar_dsir l ON l.dsar_id = g.dsar_id JOIN dsir d ON d.dsir_id = l.dsir_id WHERE g.created_by = 'PostSynchronizationManager'),
-fit AS (SELECT m.dsar_id, m.nth, m.dsir_id, m.model_type, r.dsir_id AS run, row_number() OVER (PARTITION BY m.dsar_id, m.nth, m.dsir_id ORDER BY p.pos) - 1 AS pos
+fit AS (SELECT m.dsar_id, m.nth, m.dsir_id, m.model_type, r.dsir_id AS run, (row_number() OVER (PARTITION BY m.dsar_id, m.nth, m.dsir_id ORDER BY p.pos) - 1)::INT AS pos
   FROM member m JOIN dsir_parent p ON p.dsir_id = m.dsir_id JOIN dsir r ON r.dsir_id = p.parent_id AND r.created_by = 'JobGateway' AND r.t_begin = m.t_begin AND r.t_end = m.t_end AND r.model_type = m.model_type),
 alone AS (SELECT * FROM fit UNION ALL SELECT dsar_id, nth, dsir_id, model_type, dsir_id, 0 FROM member WHERE dsir_id NOT IN (SELECT dsir_id FROM fit)),
 s3 AS (SELECT 3 AS stage, dsar_id AS key, 0 AS kind, nth::BIGINT AS nth, dsir_id AS dst, 'dsir' AS dst_kind, 'cluster_aggr' AS dst_type, model_type AS dst_model, 'OR' AS edge_type,
