@@ -71,8 +71,8 @@ def test_page_rows(spark, extra):
     pages = spark.createDataFrame(rows, PAGE)
     if extra:
         pages = pages.withColumns({c: F.lit("x") for c in ("host", "wrapper", "text", "rank", "n_chars")})
-    for limit in (0, 2000):
-        found = html.extract(pages, broadcast_rows=limit)
+    for limit in (0, 32_000_000):
+        found = html.extract(pages, broadcast_bytes=limit)
         want = sorted(((p, u, t, len(t)) for p, u, t in ((p, u, "" if not h else expected(int(re.search(r"Title (\d+)", h).group(1)), h.count("<p>Paragraph"))) for p, u, h in rows)), key=repr)
         assert listed(found, "page_id", "url", "text", "n_chars") == want
     assert html.extract(pages.where("false")).count() == 0

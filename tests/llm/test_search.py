@@ -40,8 +40,8 @@ def plain_leaks(docs, items, threshold=0.8):
 
 
 @pytest.mark.parametrize("extra", [False, True])
-@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
-def test_leaks(spark, extra, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 32_000_000])
+def test_leaks(spark, extra, broadcast_bytes):
     rng = random.Random(9)
     passages = [prose(rng, n) for n in (5, 6, 9, 20, 60, 150)]
     items = [*enumerate(passages), (10, "two words"), (11, "one"), (12, None), (13, "  "), (None, passages[3]), (3, passages[3]), (14, passages[4].upper())]
@@ -58,9 +58,9 @@ def test_leaks(spark, extra, broadcast_rows):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     expected = plain_leaks(rows, items)
     assert len(expected) > 20
-    found = decontaminate.leaks(docs, benchmark, broadcast_rows=broadcast_rows)
+    found = decontaminate.leaks(docs, benchmark, broadcast_bytes=broadcast_bytes)
     assert listed(found, "doc_id", "item_id", "n_shingles", "n_found", "containment") == expected
-    kept = decontaminate.clean(docs, benchmark, broadcast_rows=broadcast_rows)
+    kept = decontaminate.clean(docs, benchmark, broadcast_bytes=broadcast_bytes)
     assert kept.columns == docs.columns
     bad = {(d, t) for d, t in rows if plain_leaks([(d, t)], items)}
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted((x for x in rows if x not in bad), key=repr)

@@ -39,6 +39,16 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+BROADCAST_BYTES = 32_000_000
+
+
+def bounded(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcasting if its rows, counted as JSON, are at most so many bytes; larger
+    tables are joined by shuffle. df should be cut, for it is read to be measured."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that df does not have, so that extra columns of the input never clash."""
     taken = {c.lower() for c in df.columns}

@@ -9,17 +9,16 @@ that contains enough of the item lacks at most floor((1 - threshold) * m) shingl
 least one hash of the sketch: candidates are complete, whatever the document's length. Candidates
 are verified by exact shingle containment, on the words themselves.
 
-Documents are read in place; only candidates move. The item side is broadcast if its counted rows
-are at most ``broadcast_rows``, and joined by shuffle beyond that.
+Documents are read in place; only candidates move. Items, and lists of candidates, are broadcast if
+they measure at most ``broadcast_bytes``, and joined by shuffle beyond that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import WORD, cut, free_name, row_key, table, words
+from .common import BROADCAST_BYTES, WORD, bounded, cut, free_name, row_key, table, words
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -59,35 +58,30 @@ def item_shingles(items: DataFrame, threshold: float = THRESHOLD, shingle: int =
     return made.select("item_id", "width", "h", "shingle", "n", need.alias("need"), (F.col("rank") <= sketch).alias("probe"))
 
 
-def _held(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
-
-
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(k1, k2, doc_id, item_id, n_shingles, n_found) of every row of docs, by row key, that holds
     an item."""
     parts = cut(item_shingles(items, threshold, shingle, item_id_col, item_text_col))
-    known = parts.groupBy("width").agg(F.count("*").alias("n")).collect()  # a row per width, `shingle` at most
-    n_parts = sum(r["n"] for r in known)
+    widths = sorted(r["width"] for r in parts.select("width").distinct().collect())  # `shingle` at most
+    held = bounded(parts, broadcast_bytes)
     key = row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(key[0].alias("k1"), key[1].alias("k2"), F.col(id_col).alias("doc_id"), words(F.lower(F.col(text_col))).alias("w"))
-    if not known:
+    if not widths:
         return rows.where("false").select("k1", "k2", "doc_id", F.lit(0).alias("item_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"))
     rows = rows.withColumn("room", F.size("w"))
-    widths = sorted(r["width"] for r in known)
     found = None
     for width in widths:
-        sketch = _held(parts.where(F.col("probe") & (F.col("width") == width)).select("h", "item_id", "need"), n_parts, broadcast_rows)
+        sketch = held.where(F.col("probe") & (F.col("width") == width)).select("h", "item_id", "need")
         hit = _windows(rows, width, "k1", "k2", "room").select("k1", "k2", "room", "h").join(sketch, "h")
         hit = hit.where(F.col("room") - width + 1 >= F.col("need")).select("k1", "k2", "item_id").distinct()
         found = hit if found is None else found.unionByName(hit)
     candidates = cut(found)
     wanted = cut(candidates.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items")))
-    near = rows.join(_held(wanted, wanted.count(), broadcast_rows), ["k1", "k2"])
+    near = rows.join(bounded(wanted, broadcast_bytes), ["k1", "k2"])
     exact = None
     for width in widths:
-        own = parts.where(F.col("width") == width).select("h", F.col("shingle").alias("its"), "item_id", "n", "need")
-        hit = _windows(near, width, "k1", "k2", "doc_id", "items").join(_held(own, n_parts, broadcast_rows), "h")
+        own = held.where(F.col("width") == width).select("h", F.col("shingle").alias("its"), "item_id", "n", "need")
+        hit = _windows(near, width, "k1", "k2", "doc_id", "items").join(own, "h")
         hit = hit.where((F.col("shingle") == F.col("its")) & F.array_contains("items", F.col("item_id"))).select("k1", "k2", "doc_id", "item_id", "n", "need", "h", "its").distinct()
         exact = hit if exact is None else exact.unionByName(hit)
     counted = exact.groupBy("k1", "k2", "doc_id", "item_id").agg(F.max("n").alias("n_shingles"), F.max("need").alias("need"), F.count("*").alias("n_found"))
@@ -105,12 +99,12 @@ def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **how) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **how) -> DataFrame:
     """The rows of docs that hold no test item, with the columns of docs."""
-    bad = cut(contained(docs, items, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **how).select("k1", "k2").distinct())
+    bad = cut(contained(docs, items, id_col=id_col, text_col=text_col, broadcast_bytes=broadcast_bytes, **how).select("k1", "k2").distinct())
     k1, k2 = free_name(docs, "k1", "k2")
     key = row_key(F.col(id_col), F.col(text_col))
-    bad = _held(bad.toDF(k1, k2), bad.count(), broadcast_rows)
+    bad = bounded(bad.toDF(k1, k2), broadcast_bytes)
     return docs.withColumns({k1: key[0], k2: key[1]}).join(bad, [k1, k2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
