@@ -99,3 +99,31 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1080), 1000), 2000: 2000, 2001: 2000}
+
+
+@pytest.mark.parametrize("family", [6, 60])
+def test_stage_joins_copies_that_fingerprints_cannot_see(spark, family):
+    """Copies with 1 to 10 scattered changes in 200 words, against all pairs' exact similarity."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(family)
+    rows = []
+    for base in range(5):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for copy in range(family if not base else 8):
+            own = list(words)
+            for at in rng.integers(0, 200, copy % 11):
+                own[at] = f"c{base}x{copy}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, rows[0][1])]
+    sets = [simhash.shingle_set((t or "").encode()) for _, t in rows]
+    codes = [plain_fingerprint(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (codes[i] ^ codes[j]).bit_count() <= 4 or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = sorted({min(k for k, g in enumerate(label) if g == x) for x in label})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()) == want
+    assert len(want) < simhash.keep_one(docs).count()

@@ -12,6 +12,11 @@ Each task returns a spanning forest of what it linked (fewer links than fingerpr
 pairs, and the forests are joined into components by a distributed star contraction. An upper node
 with more than ``node_rows`` fingerprints is split into parts, and each pair of parts is a task's
 work of its own. Equal fingerprints are one row throughout, so exact copies cost nothing.
+
+Fingerprints see only copies that differ in few bits. ``similar`` finds the others: texts whose sets
+of five-word shingles have a Jaccard similarity of at least 0.8. 200 minima of the hashed shingles
+are dealt as 40 bands of 5; a pair at exactly 0.8 shares no band with a probability of 1.3e-7, and
+pairs that share one are compared on the words themselves.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, free_name, row_key, table
+from .common import bounded, bytes_of, cut, free_name, row_key, table
 from .components import components
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 FANOUT = 16
+BANDS, BAND_ROWS = 40, 5
 
 
 def _masks() -> list[int]:
@@ -257,14 +263,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay when each near-duplicate group keeps one: the row with the
     smallest id, and of several rows with that id the one with the least row key; of equal rows
-    one. Null ids stay only where the group has no other. Columns as in docs."""
+    one. Null ids stay only where the group has no other. Columns as in docs. With a similarity,
+    texts whose five-word shingles are at least that similar are in one group too."""
     k1, k2, fp, rank = free_name(docs, "k1", "k2", "fp", "rank")
     key = row_key(F.col(id_col), F.col(text_col))
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), fingerprints(shingle)(F.col(text_col)).alias("fp")))
+    made = [fingerprints(shingle)(F.col(text_col)).alias("fp")]
+    if similarity is not None:
+        made += [F.xxhash64(F.col(text_col)).alias("t"), _bands(5)(F.col(text_col)).alias("bands")]
+    prints = cut(docs.select(F.col(id_col).alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), *made))
     placed = groups(prints, "doc_id", max_bits)
+    if similarity is not None:
+        roots = cut(placed.select("fp", "root"))
+        joined = similar(docs, prints, roots, text_col, similarity)
+        placed = roots.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     stay = prints.join(placed, "fp").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.k1").alias(k1), F.col("x.k2").alias(k2))
     keyed = docs.withColumns({k1: key[0], k2: key[1]})
@@ -273,5 +287,114 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return out.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+# ---------------------------------------------------------------- similar texts
+
+
+def shingle_set(text: bytes, width: int = 5) -> set[bytes]:
+    """The distinct shingles of a text, words as for fingerprints; fewer words are one shingle."""
+    parts = text.lower().split()
+    return {b" ".join(parts[i : i + width]) for i in range(max(1, len(parts) - width + 1))} if parts else set()
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(text: bytes, width: int = 5) -> list[int]:
+    """BANDS hashes, each of BAND_ROWS minima over the hashed shingles; none for a text without words."""
+    import xxhash
+
+    parts = text.lower().split()
+    if not parts:
+        return []
+    words = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
+    n = max(1, len(words) - width + 1)
+    hashes = np.zeros(n, np.uint64)
+    for k, factor in enumerate(_odd(width, 1)[: len(words)]):
+        hashes += words[k : k + n] * factor
+    hashes = np.unique(hashes ^ (hashes >> np.uint64(29)))
+    factors = _odd(BANDS * BAND_ROWS, 2)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        mixed = hashes[at : at + 512, None] * factors
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, mixed.min(axis=0), out=least)
+    keys = (least.reshape(BANDS, BAND_ROWS) * _odd(BAND_ROWS, 3)).sum(axis=1, dtype=np.uint64)
+    return keys.astype(np.int64).tolist()
+
+
+def _bands(width: int):
+    import pyarrow as pa
+
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([band_keys(x, width) for x in bytes_of(texts)], pa.list_(pa.int64()))
+
+    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of, "array<long>")
+
+
+def _alike(similarity: float, width: int):
+    import pyarrow as pa
+
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(bytes_of(a), bytes_of(b), strict=True):
+            x, y = shingle_set(x, width), shingle_set(y, width)
+            both = len(x & y)
+            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    of.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of, "boolean")
+
+
+def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = 5) -> DataFrame:
+    """roots(fp, root) to (root, top): the groups that texts of at least that similarity join, for
+    groups that are joined to another. prints has t (hash of the text), fp and bands.
+
+    Only texts of different groups that share a band are compared. Large buckets first compare each
+    text with one pivot, which joins most of a large group by few pairs; every pair of different
+    groups that is then left in a bucket is compared."""
+    texts = prints.groupBy("t").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands")).join(roots, "fp")
+    held = texts.select("t", "root", F.posexplode("bands").alias("band", "key"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
+        return cut(rows.join(several, ["band", "key"]))
+
+    held = mixed(held)
+    source = docs.select(F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    source = cut(source.join(bounded(cut(held.select("t").distinct())), "t", "left_semi").dropDuplicates(["t"]))
+    found = tested = None
+    for turn in range(100):
+        sizes = held.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        left = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        if not left["rows"]:
+            break
+        last = left["pairs"] <= 4 * left["rows"] or turn >= 3
+        if last:
+            other = held.select("band", "key", F.col("t").alias("t2"), F.col("root").alias("root2"))
+        else:
+            first = F.min(F.struct(F.xxhash64("t", F.lit(turn)).alias("h"), "t", "root")).alias("x")
+            other = held.groupBy("band", "key").agg(first).select("band", "key", F.col("x.t").alias("t2"), F.col("x.root").alias("root2"))
+        pairs = held.join(other, ["band", "key"]).where("root <> root2")
+        pairs = pairs.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        near = bounded(pairs)
+        one = source.join(near, F.col("t") == F.col("a")).select("a", "b", F.col("text").alias("x"))
+        two = source.join(near, F.col("t") == F.col("b")).select("a", "b", F.col("text").alias("y"))
+        good = cut(one.join(two, ["a", "b"]).where(_alike(similarity, width)("x", "y")).select("a", "b"))
+        of = texts.select("t", "root") if found is None else texts.select("t", "root").join(found, "root", "left").select("t", F.coalesce("top", "root").alias("root"))
+        ends = good.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        links = ends if found is None else ends.unionByName(found.select(F.col("root").alias("a"), F.col("top").alias("b")))
+        found = components(links).toDF("root", "top")
+        if last:
+            break
+        held = mixed(held.join(found, "root", "left").select("t", F.coalesce("top", "root").alias("root"), "band", "key"))
+    return roots.select("root", F.col("root").alias("top")).where("false") if found is None else found
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
