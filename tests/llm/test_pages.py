@@ -42,6 +42,15 @@ def test_main_text_of_a_site(article):
     assert known
 
 
+def test_two_templates_on_one_host():
+    """A page without a main zone keeps its own text, whatever the host's other pages have."""
+    plain = [f"<body><div class=body><h3>Head {i}</h3><pre>Code {i}</pre><p>Text {i}</p></div></body>" for i in range(4)]
+    pages = [f"<body><article><p>Story {i}</p></article></body>" for i in range(4)] + plain
+    wrapper = json.loads(json.dumps(html.infer(pages)))
+    for i, page in enumerate(plain):
+        assert html.main_text(page, wrapper, {}) == f"Head {i}\nCode {i}\nText {i}"
+
+
 def test_wrapper_has_slots_options_and_repeats():
     wrapper = html.infer([site(1, 1, 0), site(2, 3, 2), site(3, 2, 1)])
 
