@@ -51,6 +51,21 @@ def test_two_templates_on_one_host():
         assert html.main_text(page, wrapper, {}) == f"Head {i}\nCode {i}\nText {i}"
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article><h2 id='search-and-rescue'>Search</h2><section id='related-work'><p>Work</p></section></article>", "Search\nWork"),
+        ("<article><section id='comments'><p>No</p></section><div class='share-bar'>No</div><p>Yes</p></article>", "Yes"),
+        ("<div><p class=share>Share<p>One<p>Two</div>", "One\nTwo"),
+        ("<div class='text-center'>Centred</div><div><p>Story</p></div>", "Centred\nStory"),
+        ("<ul class='post-list'><li>Item</ul><div><p>Story</p></div>", "Item\nStory"),
+        ("<div><p>Other</p></div><div class='post-body'><p>Story</p></div>", "Story"),
+    ],
+)
+def test_zones_of_names(source, want):
+    assert html.main_text(source, None) == want
+
+
 def test_wrapper_has_slots_options_and_repeats():
     wrapper = html.infer([site(1, 1, 0), site(2, 3, 2), site(3, 2, 1)])
 
