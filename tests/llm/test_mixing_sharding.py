@@ -104,7 +104,7 @@ def test_jump():
 @pytest.mark.parametrize("extra", [False, True])
 def test_shards(spark, extra):
     docs = documents(spark, extra)
-    rows = sharding.place(docs, buckets=5).collect()
+    rows = sharding.place(docs, bucket_rows=2).collect()
     assert len(rows) == docs.count()
     slots = defaultdict(list)
     shard_of = {}
@@ -115,7 +115,7 @@ def test_shards(spark, extra):
         assert shard_of.setdefault(r["doc_id"], r["shard"]) == r["shard"]
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    again = sharding.place(docs.repartition(5), buckets=5)
+    again = sharding.place(docs.repartition(5), bucket_rows=2)
     assert listed(again, "doc_id", "shard", "slot", "text_crc32") == sorted(((r["doc_id"], r["shard"], r["slot"], r["text_crc32"]) for r in rows), key=repr)
 
 

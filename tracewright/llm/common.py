@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,12 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system and all in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner find and delete the shuffle files of plans that nothing refers to any
     more (it goes by the JVM's garbage collection, which may be long in coming)."""
@@ -84,12 +91,14 @@ def n_words(text: Column) -> Column:
     return n_pieces(text, SPACE)
 
 
-def bytes_of(column) -> list:
-    """The UTF-8 bytes of an Arrow string column, with b'' for null."""
+def bytes_of(column, rows: int = 128) -> Iterator[bytes]:
+    """The UTF-8 bytes of an Arrow string column, b'' for null, a few rows at a time."""
     import pyarrow as pa
 
     column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-    return [x or b"" for x in column.to_pylist()]
+    for at in range(0, len(column), rows):
+        for x in column.slice(at, rows).to_pylist():
+            yield x or b""
 
 
 def fold(doc_id: Column, parts: int) -> Column:

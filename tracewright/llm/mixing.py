@@ -19,27 +19,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, n_words, row_key, table
+from .common import bounded, cut, free_name, n_words, row_key, table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 
 
+def _before(rows: DataFrame, order: list[str], **sums: str) -> DataFrame:
+    """rows with, for each name=column, the column's sum over all rows before this one in a total
+    order. Rows are range-partitioned and summed inside their partition; one row for each partition
+    holds what came before it, so no task sees all rows. Sums of whole numbers are exact."""
+    (part,) = free_name(rows, "part")
+    ranged = cut(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    parts = ranged.groupBy(part).agg(*[F.sum(c).alias(f"{n}_part") for n, c in sums.items()])
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    parts = parts.select(part, *[F.coalesce(F.sum(f"{n}_part").over(ahead), F.lit(0.0)).alias(f"{n}_part") for n in sums])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for n, c in sums.items()}).join(F.broadcast(parts), part)
+    return found.withColumns({n: F.col(n) + F.col(f"{n}_part") for n in sums}).drop(part, *[f"{n}_part" for n in sums])
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """sized(source, size) to (source, source_size, n, target). Sources by code point, null last,
     take the weights in turn and share all words; a target above most times its source's size stops
     there and the excess is shared again. Filling in the order of size over weight reaches the same
-    end in one pass over the sources."""
+    end in one pass over the sources, of which there may be very many (hosts)."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int")).cast("double"))
-    cap, level = F.col("source_size") * F.lit(float(most)), F.col("cap") / F.col("weight")
-    sources = sources.withColumn("cap", cap).withColumn("level", level).withColumn("total", F.sum("source_size").over(Window.partitionBy()))
-    order = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    sources = sources.withColumn("fill", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    sources = sources.select("source", "source_size", "n", F.col("source").isNull().alias("none"), F.lit(1.0).alias("one"))
+    sources = _before(sources, ["none", "source"], turn="one")
+    sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int")).cast("double"))
+    cap = F.col("source_size") * F.lit(float(most))
+    sources = sources.withColumn("cap", cap).withColumn("level", F.col("cap") / F.col("weight"))
+    sources = cut(_before(sources, ["level", "none", "source"], cap_before="cap", weight_before="weight"))
+    whole = sources.agg(F.sum("source_size").cast("double").alias("total"), F.sum("weight").alias("weights"))
+    sources = sources.join(F.broadcast(whole))  # one row
+    sources = sources.withColumn("fill", (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
     full = F.col("level") <= F.col("fill")
-    sources = sources.withColumn("open_level", F.min_by(F.when(~full, F.col("fill")), F.when(~full, F.col("level"))).over(Window.partitionBy()))
+    open_level = sources.agg(F.min_by(F.when(~full, F.col("fill")), F.when(~full, F.col("level"))).alias("open_level"))
+    sources = sources.join(F.broadcast(open_level))  # one row
     return sources.select("source", "source_size", "n", F.when(full, F.col("cap")).otherwise(F.col("weight") * F.col("open_level")).alias("target"))
 
 
@@ -56,7 +73,7 @@ def _pair(level: int, seed: int):
         a, p, b, q = at["size"], at["p"], x["size"], x["p"]
         rise = F.least((1 - p) * a, q * b)  # words that can move to the first
         fall = F.least(p * a, (1 - q) * b)
-        u = _chance(at["id"], at["copy"], x["id"], x["copy"], F.lit(level), F.lit(seed))
+        u = _chance(at["id"], at["t"], at["copy"], x["id"], x["t"], x["copy"], F.lit(level), F.lit(seed))
         up = u * (rise + fall) < fall
         first = F.when(up, F.when((1 - p) * a <= q * b, F.lit(1.0)).otherwise(p + q * b / a)).otherwise(
             F.when(p * a <= (1 - q) * b, F.lit(0.0)).otherwise(p - (1 - q) * b / a)
@@ -70,7 +87,7 @@ def _pair(level: int, seed: int):
         one_done = (one <= 0) | (one >= 1)
 
         def unit(of: Column, chance: Column) -> Column:
-            return F.struct(of["h"].alias("h"), of["id"].alias("id"), of["copy"].alias("copy"), of["size"].alias("size"), chance.alias("p"))
+            return F.struct(of["h"].alias("h"), of["id"].alias("id"), of["t"].alias("t"), of["copy"].alias("copy"), of["size"].alias("size"), chance.alias("p"))
 
         done = F.when(one_done, unit(at, one)).otherwise(unit(x, two))
         left = F.when(one_done, unit(x, two)).otherwise(unit(at, one))
@@ -80,15 +97,17 @@ def _pair(level: int, seed: int):
 
 
 def decide(docs: DataFrame, fan_in: int = 64, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """docs(doc_id, source, size) to one row per row: doc_id, source, size, source_size, target,
-    copy (which of the rows with equal values), whole, extra (0 or 1). Its copies are whole + extra."""
-    sized = cut(docs)
+    """docs(doc_id, source, size and, if it has it, t: a hash of the text) to one row per row: these,
+    source_size, target, copy (which of the rows with equal values), whole, extra (0 or 1). Its
+    copies are whole + extra. Pairs meet in the order of hashes of these values; equal rows differ
+    in their copy number, so ties never depend on where a row was read."""
+    sized = cut(docs if "t" in docs.columns else docs.withColumn("t", F.lit(0).cast("long")))
     aims = cut(targets(sized, weights, most))
     top = aims.agg(F.max("n")).first()[0] or 0
-    classes = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
+    classes = sized.groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("m"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = aims.withColumn("whole", F.floor(rate).cast("int")).withColumn("part", rate - F.floor(rate))
-    named = aims.withColumnRenamed("source", "its")
+    named = bounded(aims.withColumnRenamed("source", "its"))
     units = (
         classes.join(named, F.col("source").eqNullSafe(F.col("its")))
         .drop("its")
@@ -96,10 +115,11 @@ def decide(docs: DataFrame, fan_in: int = 64, seed: int = 7, weights: tuple[int,
         .drop("m")
     )
     fixed = ["source", "source_size", "target", "whole"]
+    named_row = ["doc_id", "size", "t", "copy"]
     certain = (F.col("part") <= 0) | (F.col("size") <= 0)
-    certainly, out = units.where(certain).select("doc_id", "size", "copy", *fixed, F.lit(0).alias("extra")), None
+    certainly, out = units.where(certain).select(*named_row, *fixed, F.lit(0).alias("extra")), None
     opened = units.where(~certain).select(
-        *fixed, F.struct(row_key(F.col("doc_id"), F.col("source"), F.col("size"), F.col("copy"), F.lit(seed))[0].alias("h"), F.col("doc_id").alias("id"), "copy", F.col("size").cast("double").alias("size"), F.col("part").alias("p")).alias("x"), F.col("n").cast("double").alias("n")
+        *fixed, F.struct(row_key(F.col("doc_id"), F.col("source"), F.col("size"), F.col("t"), F.col("copy"), F.lit(seed))[0].alias("h"), F.col("doc_id").alias("id"), "t", "copy", F.col("size").cast("double").alias("size"), F.col("part").alias("p")).alias("x"), F.col("n").cast("double").alias("n")
     )
     level, left = 0, top
     while left > 1 or level == 0:
@@ -120,19 +140,20 @@ def decide(docs: DataFrame, fan_in: int = 64, seed: int = 7, weights: tuple[int,
     return certainly.unionByName(_last(out, _taken(opened, fixed, F.lit(0)).join(opened.select(F.col("x.h").alias("h"), F.col("x.p").alias("p")), "h"), seed))
 
 
-def _last(done: DataFrame, left: DataFrame, seed: int, rounds: int = 6) -> DataFrame:
+def _last(done: DataFrame, left: DataFrame, seed: int, rounds: int = 24) -> DataFrame:
     """The undecided document of each source against decided ones that can give or take its words:
     it drops to 0 and a document of about p times its size is taken instead, or it rises to 1 and a
     document of about the rest of its size goes, with the chances that keep expectations. What one
-    document leaves open goes to the next, until none is nearer than none."""
+    document leaves open goes to the next, until none is nearer than none, every source is within a
+    ten-thousandth of its target, or `rounds` documents of a source have turned."""
     up = _chance("h", F.lit(-1), F.lit(seed)) < F.col("p")
     left = cut(left.withColumn("extra", F.when(up, 1).otherwise(0)))
     fits = F.col("source").eqNullSafe(F.col("its")) & (F.col("extra") == F.when(F.col("due") > 0, 0).otherwise(1))
     miss = F.abs(F.col("size") - F.abs("due"))
-    due = left.select(F.col("source").alias("its"), ((F.col("p") - F.col("extra")) * F.col("size")).alias("due"), F.col("target").alias("aim"))
+    due = cut(left.select(F.col("source").alias("its"), ((F.col("p") - F.col("extra")) * F.col("size")).alias("due"), F.col("target").alias("aim")))
     turned, here = None, done
     for _ in range(rounds):  # a row for each source
-        partner = here.join(due, fits).where(miss < F.abs("due")).groupBy("its").agg(F.min(F.struct(miss.alias("miss"), "h", "size")).alias("x"))
+        partner = here.join(bounded(due), fits).where(miss < F.abs("due")).groupBy("its").agg(F.min(F.struct(miss.alias("miss"), "h", "size")).alias("x"))
         due = due.withColumnRenamed("its", "of").join(partner, F.col("of").eqNullSafe(F.col("its")), "left")
         size = F.coalesce("x.size", F.lit(0))
         due = cut(due.select(F.col("of").alias("its"), (F.col("due") - F.signum("due") * size).alias("due"), "aim", F.col("x.h").alias("h")))
@@ -149,38 +170,51 @@ def _last(done: DataFrame, left: DataFrame, seed: int, rounds: int = 6) -> DataF
 
 
 def _taken(rows: DataFrame, fixed: list[str], extra: Column) -> DataFrame:
-    return rows.select(F.col("x.id").alias("doc_id"), F.col("x.size").cast("long").alias("size"), F.col("x.copy").alias("copy"), *fixed, extra.alias("extra"), F.col("x.h").alias("h"))
+    return rows.select(F.col("x.id").alias("doc_id"), F.col("x.size").cast("long").alias("size"), F.col("x.t").alias("t"), F.col("x.copy").alias("copy"), *fixed, extra.alias("extra"), F.col("x.h").alias("h"))
+
+
+def _read(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("t"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, source, copies.
 
-    Null texts have size 0 and are never taken, like texts without a word; a null source is a
-    source of its own, the last; rows with equal ids are documents of their own; null ids stay
-    null. Extra columns are not read. An empty table gives no rows."""
-    found = decide(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), **how)
+    Null texts have size 0 and are never taken, like texts without a word; a very long text is one
+    unit of its size, and only its size and hash move; a null source is a source of its own, the
+    last; rows with equal ids, and equal rows, are documents of their own; null ids stay null. A
+    source misses its target by what the exchanges of `_last` leave (24 documents at most change
+    their decision for it), which is a few words unless all its other documents are of one size.
+    Extra columns are not read. An empty table gives no rows."""
+    found = decide(_read(docs, id_col, source_col, text_col), **how)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0))
     found = found.withColumn("copies", copies)
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs. Rows with equal
-    id, source and size share their decisions in the order of a hash of their text. Rows without a
-    word are not taken."""
-    k1, k2, size, turn = free_name(docs, "k1", "k2", "size_", "turn")
-    found = decide(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), **how)
-    key = row_key(F.col("doc_id"), F.col("source"), F.col("size"))
-    classes = found.where("size > 0 and whole + extra > 0").select(key[0].alias(k1), key[1].alias(k2), F.col("whole").alias("_whole"), F.col("extra").alias("_extra"))
-    classes = classes.groupBy(k1, k2).agg(F.max("_whole").alias("_whole"), F.sum("_extra").alias("_extra"))
-    keyed = docs.withColumn(size, n_words(F.col(text_col)))
-    key = row_key(F.col(id_col), F.col(source_col), F.col(size))
-    keyed = keyed.withColumns({k1: key[0], k2: key[1]}).join(classes, [k1, k2])
-    order = Window.partitionBy(k1, k2).orderBy(F.xxhash64(F.col(text_col)))
-    keyed = keyed.withColumn(turn, F.row_number().over(order))
-    copies = F.col("_whole") + F.when(F.col(turn) <= F.col("_extra"), 1).otherwise(0)
-    keyed = keyed.withColumn(turn, copies).where(F.col(turn) > 0)
-    return keyed.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turn)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs as often as the mix takes them, with the columns of docs. Rows without a
+    word are not taken. Decisions are made on ids, sizes and hashes; texts are joined once, and only
+    rows equal in id, source and text that are taken unlike each other are counted among themselves
+    (which of them goes is open)."""
+    k1, k2, times, more, turn = free_name(docs, "k1", "k2", "times", "more", "turn")
+    found = decide(_read(docs, id_col, source_col, text_col), **how).where("size > 0")
+    key = row_key(F.col("doc_id"), F.col("source"), F.col("t"))
+    classes = found.groupBy(key[0].alias(k1), key[1].alias(k2)).agg(F.max("whole").alias(times), F.sum("extra").cast("int").alias(more), F.count("*").alias(turn))
+    classes = cut(classes.where(F.col(times) + F.col(more) > 0))
+    split = (F.col(more) > 0) & (F.col(more) < F.col(turn))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key = row_key(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col)))
+    keyed = docs.withColumns({k1: key[0], k2: key[1]})
+    alike = bounded(classes.where(~split).select(k1, k2, (F.col(times) + (F.col(more) > 0).cast("int")).alias(times)))
+    out = keyed.join(alike, [k1, k2]).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
+    uneven = classes.where(split).drop(turn)
+    if not uneven.isEmpty():
+        rows = keyed.join(bounded(uneven), [k1, k2]).withColumn(turn, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
+        copies = F.col(times) + F.when(F.col(turn) <= F.col(more), 1).otherwise(0)
+        rows = rows.withColumn(turn, copies).where(F.col(turn) > 0)
+        out = out.unionByName(rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turn)))).select(*names))
+    return out
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

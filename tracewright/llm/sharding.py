@@ -2,9 +2,9 @@
 
 A row's shard depends on its id and the number of shards alone, with no table of a ring; with one
 more shard, rows move only into the new one. Within a shard, rows are numbered without a gap: a
-second hash deals a shard's rows over ``buckets`` buckets, the buckets' counts (shards x buckets
-rows at most) are added up, and rows are numbered inside their bucket, so no task ever sees a whole
-shard.
+second hash, of id and text, deals a shard's rows over buckets of about ``bucket_rows``, the
+buckets' counts are added up, and rows are numbered inside their bucket, so no task ever sees a
+whole shard, nor all rows of one id unless their texts are equal too.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import bounded, cut, free_name, table
 
 SHARDS = 8
-BUCKETS = 512
+BUCKET_ROWS = 20_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -45,12 +45,15 @@ def shards_of(shards: int):
     return F.arrow_udf(of, "shard int, grown_shard int")
 
 
-def place(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def place(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with shard, slot and grown_shard (as well as size, text_crc32 and law), in place of
     columns of these names.
 
     Null ids are one key of their own; rows with equal ids share a shard, each with a slot of its
-    own; null texts have size 1 and the checksum of no bytes. An empty table gives no rows."""
+    own, in the order of id, checksum and size inside a bucket (rows equal in all three take theirs
+    in any order); null texts have size 1 and the checksum of no bytes; a very long text is a row
+    like others. An empty table gives no rows."""
+    buckets = max(1, -(-docs.count() // (shards * bucket_rows)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     names = [c for c in docs.columns if c.lower() not in made]
@@ -58,13 +61,13 @@ def place(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, id_col:
     rows = docs.withColumn(at, shards_of(shards)(F.xxhash64(F.col(id_col))))
     rows = rows.select(
         *[F.col(f"`{c}`") for c in names], F.octet_length(text).cast("long").__add__(1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
-        F.col(f"{at}.shard").alias("shard"), F.col(f"{at}.grown_shard").alias("grown_shard"), F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(buckets)).cast("int").alias(bucket),
+        F.col(f"{at}.shard").alias("shard"), F.col(f"{at}.grown_shard").alias("grown_shard"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1)), F.lit(buckets)).cast("int").alias(bucket),
     )
     counts = rows.groupBy("shard", bucket).agg(F.count("*").alias("n"))
     offset = F.sum("n").over(Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
     counts = cut(counts.select("shard", bucket, F.coalesce(offset, F.lit(0)).alias(before)))
     inside = Window.partitionBy("shard", bucket).orderBy(id_col, "text_crc32", "size")
-    rows = rows.withColumn("slot", F.row_number().over(inside) - 1).join(F.broadcast(counts), ["shard", bucket])  # shards x buckets rows
+    rows = rows.withColumn("slot", F.row_number().over(inside) - 1).join(bounded(counts), ["shard", bucket])
     return rows.select(*[F.col(f"`{c}`") for c in names], "size", "text_crc32", "law", "shard", (F.col("slot") + F.col(before)).cast("long").alias("slot"), "grown_shard")
 
 

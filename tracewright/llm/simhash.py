@@ -10,22 +10,27 @@ already one group are skipped; single fingerprints are compared last.
 
 Each task returns a spanning forest of what it linked (fewer links than fingerprints), never all
 pairs, and the forests are joined into components by a distributed star contraction. An upper node
-with more than ``node_rows`` fingerprints is split into parts, and each pair of parts is a task's
-work of its own. Equal fingerprints are one row throughout, so exact copies cost nothing.
+with more than ``node_rows`` fingerprints is taken apart by two more shared blocks of its free bits,
+until no node is larger. Equal fingerprints are one row throughout, so exact copies cost nothing.
 
 Fingerprints see only copies that differ in few bits. ``similar`` finds the others: texts whose sets
-of five-word shingles have a Jaccard similarity of at least 0.8. 200 minima of the hashed shingles
-are dealt as 40 bands of 5; a pair at exactly 0.8 shares no band with a probability of 1.3e-7, and
-pairs that share one are compared on the words themselves.
+of five-word shingles have a Jaccard similarity of at least 0.8. One hash of each shingle falls into
+one of 160 bins, whose minima (empty bins borrow another's: optimal densification, Shrivastava 2017)
+are dealt as 32 bands of 5; a pair at exactly 0.8 shares no band with a probability of about 3e-6,
+and pairs that share one are compared on the words themselves.
+
+Very long texts are one row of a task each; a text's words and hashes are held at once, its pairs of
+words never.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
 from itertools import combinations, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, bytes_of, cut, free_name, row_key, table
@@ -33,7 +38,9 @@ from .components import components
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 FANOUT = 16
-BANDS, BAND_ROWS = 40, 5
+BANDS, BAND_ROWS = 32, 5
+BINS = BANDS * BAND_ROWS
+WIDTH = 5  # words of a shingle, where a similarity is asked for
 
 
 def _masks() -> list[int]:
@@ -51,40 +58,59 @@ def _signed(x: int) -> int:
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The fingerprint of a text in UTF-8: words of the text with A-Z in lower case, ``shingle``
-    consecutive words joined by a space and hashed by XXH64 with seed 42; a bit is set if it is set
-    in more than half of the hashes. A text of fewer words is one shingle; no word gives 0."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 with seed 42 of every shingle of a text in UTF-8, in order: words of the text with A-Z
+    in lower case, ``width`` consecutive words joined by a space. A text of fewer words is one
+    shingle; no word gives none."""
     import xxhash
 
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
-    if len(parts) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+    if len(parts) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    n = len(parts) - shingle + 1
+    n = len(parts) - width + 1
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
-    ends = ends[shingle - 1 :].tolist()
+    pieces = map(joined.__getitem__, map(slice, starts, ends[width - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; no hash gives 0."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 16384):
-        pieces = map(joined.__getitem__, map(slice, starts[at : at + 16384], ends[at : at + 16384]))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), 16384):
+        bits = np.unpackbits(hashes[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(shingle: int = 4):
-    """A vectorised function from a text column to fingerprints (long, the bits as they are)."""
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """The fingerprint of a text in UTF-8."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def fingerprints(shingle: int = 4, width: int | None = None):
+    """A vectorised function from a text column to fingerprints (fp: long, the bits as they are)
+    and, with a width, to the band keys of shingles of that many words."""
     import pyarrow as pa
 
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([_signed(fingerprint(x, shingle)) for x in bytes_of(texts)], pa.int64())
+        codes, bands = [], []
+        for text in bytes_of(texts):
+            hashes = shingle_hashes(text, shingle)
+            codes.append(_signed(majority(hashes)))
+            if width == shingle + 1 and len(hashes) > 1:  # two neighbours make the next longer shingle
+                hashes = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(32)))
+            elif width and width != shingle + 1:
+                hashes = shingle_hashes(text, width)
+            bands.append(band_keys(hashes) if width else None)
+        return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "bands"])
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "long")
+    return F.arrow_udf(of, "fp long, bands array<long>")
 
 
 # ---------------------------------------------------------------- the index of one upper node
@@ -168,11 +194,11 @@ def _small(codes: np.ndarray, run: np.ndarray, most: int, max_bits: int) -> list
 
 
 def _join_nodes(batches: Iterator, max_bits: int) -> Iterator:
-    """Batches sorted by (mask, pattern, part) to links; a node may run on over batches."""
+    """Batches sorted by (mask, pattern) to links; a node may run on over batches."""
     import pyarrow as pa
 
-    def links(mask, pattern, part, codes):
-        edge = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]) | (part[1:] != part[:-1])) + 1
+    def links(mask, pattern, codes):
+        edge = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])) + 1
         starts = np.concatenate(([0], edge))
         sizes = np.diff(np.concatenate((starts, [len(codes)])))
         out = []
@@ -193,63 +219,75 @@ def _join_nodes(batches: Iterator, max_bits: int) -> Iterator:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        last = [c[-1] for c in cols[:3]]
-        tail = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]) | (cols[2] != last[2]))
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        last = [c[-1] for c in cols[:2]]
+        tail = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]))
         split = int(tail[-1]) + 1 if len(tail) else 0
-        if held and not split and all(h[0] == x for h, x in zip(held[-1][:3], last, strict=True)):
+        if held and not split and all(h[0] == x for h, x in zip(held[-1][:2], last, strict=True)):
             held.append(cols)
             continue
         held.append([c[:split] for c in cols])
         done = [np.concatenate(c) for c in zip(*held, strict=True)]
         if len(done[0]) > 1:
-            yield links(*done[:3], done[3].astype(np.uint64))
+            yield links(*done[:2], done[2].astype(np.uint64))
         held = [[c[split:] for c in cols]]
     if held:
         done = [np.concatenate(c) for c in zip(*held, strict=True)]
         if len(done[0]) > 1:
-            yield links(*done[:3], done[3].astype(np.uint64))
+            yield links(*done[:2], done[2].astype(np.uint64))
 
 
 # ---------------------------------------------------------------- distributed
 
 
-def near_links(codes: DataFrame, max_bits: int = 4, node_rows: int = 4096, broadcast_rows: int = 20_000) -> DataFrame:
+def _children(mask: int) -> list[int]:
+    """The masks below one: its free bits as six blocks, two of them shared as well. Pairs that
+    differ in at most four free bits share at least two of the blocks."""
+    free = [1 << k for k in range(64) if not mask >> k & 1]
+    blocks = [sum(free[len(free) * k // 6 : len(free) * (k + 1) // 6]) for k in range(6)]
+    return sorted({mask | a | b for a, b in combinations(blocks, 2)})
+
+
+def near_links(codes: DataFrame, max_bits: int = 4, node_rows: int = 4096) -> DataFrame:
     """codes(fp long, distinct) to links (a, b) whose components are those of the whole relation
-    "at most max_bits bits differ". max_bits may be 0 to 4: six blocks less four leave two."""
+    "at most max_bits bits differ". max_bits may be 0 to 4: six blocks less four leave two.
+
+    Upper nodes of more than node_rows fingerprints are taken apart by the bits that are still
+    free, again and again; a node with b free bits has at most 2**b fingerprints, so this ends."""
     if not 0 <= max_bits <= 4:
         raise ValueError("six blocks carry at most 4 differing bits")
-    nodes = codes.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for k, m in enumerate(_masks())])).alias("node")
-    ).select("node.mask", "node.pattern", "fp")
-    hot = cut(
-        nodes.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).select("mask", "pattern", F.ceil(F.col("n") / node_rows).cast("int").alias("parts"))
-    )
-    n_hot = hot.count()
-    if n_hot:
-        known = F.broadcast(hot) if n_hot <= broadcast_rows else hot
-        home = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
-            F.transform(
-                F.filter(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda j: j != F.col("home")),
-                lambda j: (F.least(j, F.col("home")) * F.col("parts") + F.greatest(j, F.col("home"))).cast("int"),
-            )
-        )
-        nodes = nodes.join(known, ["mask", "pattern"], "left").withColumn("home", home).select("mask", "pattern", F.explode(parts).alias("part"), "fp")
-    else:
-        nodes = nodes.select("mask", "pattern", F.lit(0).alias("part"), "fp")
-    dealt = nodes.repartition("mask", "pattern", "part").sortWithinPartitions("mask", "pattern", "part")
+
+    def below(rows: DataFrame, masks: Column) -> DataFrame:
+        return rows.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
+
+    nodes, out = below(codes.select("fp"), F.array(*[F.lit(_signed(m)) for m in _masks()])), None
+    while True:
+        hot = cut(nodes.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).select("mask", "pattern"))
+        masks = [r["mask"] for r in hot.select("mask").distinct().collect()]  # 15 for each step down at most
+        masks = [m for m in masks if m != -1]
+        if not masks:
+            out = nodes if out is None else out.unionByName(nodes)
+            break
+        known = bounded(hot)
+        cold = nodes.join(known, ["mask", "pattern"], "left_anti")
+        out = cold if out is None else out.unionByName(cold)
+        parts = F.broadcast(codes.sparkSession.createDataFrame([(m, [_signed(x) for x in _children(m % (1 << 64))]) for m in masks], "mask long, below array<long>"))
+        nodes = cut(below(nodes.join(known, ["mask", "pattern"], "left_semi").join(parts, "mask"), F.col("below")))
+    dealt = out.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
     return dealt.mapInArrow(lambda batches: _join_nodes(batches, max_bits), "a long, b long")
 
 
 def groups(prints: DataFrame, id_col: str = "doc_id", max_bits: int = 4) -> DataFrame:
     """prints(id, fp) to (fp, component_id, root): the smallest id of the fingerprint's component
-    (null ids count only where there is no other) and the component's smallest fingerprint."""
+    (null ids count only where there is no other) and the component's smallest fingerprint.
+    Fingerprints without a link are their own component and move no further."""
     codes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     roots = components(near_links(codes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    placed = codes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return placed.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    joined = cut(codes.join(bounded(cut(roots)), "fp"))
+    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    members = cut(joined.select("fp", "root").join(bounded(cut(least)), "root"))
+    placed = codes.join(bounded(members), "fp", "left")
+    return placed.select("fp", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -258,33 +296,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts and texts without a word have fingerprint zero and are one group with each other;
     rows with equal ids each have their own row; a null id is kept, and is the component's id only
     if the component has no other. An empty table gives no rows. Extra columns are not read."""
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(shingle)(F.col(text_col)).alias("fp")))
+    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(shingle)(F.col(text_col))["fp"].alias("fp")))
     placed = groups(prints, "doc_id", max_bits)
     return prints.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay when each near-duplicate group keeps one: the row with the
-    smallest id, and of several rows with that id the one with the least row key; of equal rows
-    one. Null ids stay only where the group has no other. Columns as in docs. With a similarity,
-    texts whose five-word shingles are at least that similar are in one group too."""
-    k1, k2, fp, rank = free_name(docs, "k1", "k2", "fp", "rank")
+    smallest id, and of several rows with that id the one with the least row key; of rows equal in
+    id and text any one. Null ids stay only where the group has no other. Columns as in docs. With a
+    similarity, texts whose five-word shingles are at least that similar are in one group too.
+
+    Null texts and texts without a word are one group. Groups are formed on keys; of the texts only
+    rows that have an equal move. An empty table gives no rows."""
+    k1, k2, fp = free_name(docs, "k1", "k2", "fp")
     key = row_key(F.col(id_col), F.col(text_col))
-    made = [fingerprints(shingle)(F.col(text_col)).alias("fp")]
+    found = fingerprints(shingle, None if similarity is None else WIDTH)(F.col(text_col)).alias("s")
+    prints = docs.select(F.col(id_col).alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), F.xxhash64(F.col(text_col)).alias("t"), found)
+    prints = cut(prints.select("doc_id", "k1", "k2", "t", "s.fp", "s.bands"))
+    placed = cut(groups(prints, "doc_id", max_bits).select("fp", "root"))
     if similarity is not None:
-        made += [F.xxhash64(F.col(text_col)).alias("t"), _bands(5)(F.col(text_col)).alias("bands")]
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), *made))
-    placed = groups(prints, "doc_id", max_bits)
-    if similarity is not None:
-        roots = cut(placed.select("fp", "root"))
-        joined = similar(docs, prints, roots, text_col, similarity)
-        placed = roots.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+        joined = similar(docs, prints, placed, text_col, similarity)
+        placed = placed.join(bounded(joined), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    stay = prints.join(placed, "fp").groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.k1").alias(k1), F.col("x.k2").alias(k2))
+    rows = prints.groupBy("fp", "doc_id", "k1", "k2").agg(F.count("*").alias("n")).join(placed, "fp")
+    least = rows.groupBy("root").agg(F.min(order).alias("x"), F.sum("n").alias("n"))
+    several = bounded(cut(least.where("n > 1").select("root", F.col("x.k1").alias("s1"), F.col("x.k2").alias("s2"))))
+    stays = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))
+    told = cut(rows.join(several, "root").where(~stays | (F.col("n") > 1)).select(F.col("k1").alias(k1), F.col("k2").alias(k2), stays.alias(fp)))
     keyed = docs.withColumns({k1: key[0], k2: key[1]})
-    out = keyed.join(stay, [k1, k2], "left_semi")
-    one = Window.partitionBy(k1, k2).orderBy(k1)
-    return out.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = keyed.join(bounded(told.drop(fp)), [k1, k2], "left_anti").select(*names)
+    equal = told.where(fp).drop(fp)
+    if not equal.isEmpty():
+        out = out.unionByName(keyed.join(bounded(equal), [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*names))
+    return out
 
 
 # ---------------------------------------------------------------- similar texts
@@ -300,47 +346,42 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
 
 
-def band_keys(text: bytes, width: int = 5) -> list[int]:
-    """BANDS hashes, each of BAND_ROWS minima over the hashed shingles; none for a text without words."""
-    import xxhash
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each bin, for sorted distinct hashes (one at least); an empty bin has that
+    of the first full one in a fixed random order of its own."""
+    at = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    full, least = at[first], hashes[first]
+    if len(full) == BINS:
+        return least
+    out = np.empty(BINS, np.uint64)
+    out[full] = least
+    empty = np.setdiff1d(np.arange(BINS), full, assume_unique=True)
+    out[empty] = least[_TURNS[empty[:, None], full].argmin(axis=1)]
+    return out
 
-    parts = text.lower().split()
-    if not parts:
-        return []
-    words = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
-    n = max(1, len(words) - width + 1)
-    hashes = np.zeros(n, np.uint64)
-    for k, factor in enumerate(_odd(width, 1)[: len(words)]):
-        hashes += words[k : k + n] * factor
-    hashes = np.unique(hashes ^ (hashes >> np.uint64(29)))
-    factors = _odd(BANDS * BAND_ROWS, 2)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 512):
-        mixed = hashes[at : at + 512, None] * factors
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-        np.minimum(least, mixed.min(axis=0), out=least)
-    keys = (least.reshape(BANDS, BAND_ROWS) * _odd(BAND_ROWS, 3)).sum(axis=1, dtype=np.uint64)
-    return keys.astype(np.int64).tolist()
-
-
-def _bands(width: int):
-    import pyarrow as pa
 
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([band_keys(x, width) for x in bytes_of(texts)], pa.list_(pa.int64()))
+_TURNS = np.stack([np.random.Generator(np.random.PCG64([7, b])).permutation(BINS) for b in range(BINS)]).astype(np.uint16)
+_FACTORS, _MIXERS = _odd(BAND_ROWS, 3), _odd(BANDS, 4)
 
-    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "array<long>")
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys, each of its own BAND_ROWS minima of a text's hashed shingles; none for none."""
+    if not len(hashes):
+        return []
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = np.unique(mixed ^ (mixed >> np.uint64(32)))
+    keys = (minima(mixed).reshape(BANDS, BAND_ROWS) * _FACTORS).sum(axis=1, dtype=np.uint64)
+    return ((keys ^ (keys >> np.uint64(31))) * _MIXERS).view(np.int64).tolist()
 
 
 def _alike(similarity: float, width: int):
     import pyarrow as pa
 
     def of(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
+        out, sets = [], lru_cache(maxsize=8)(partial(shingle_set, width=width))
         for x, y in zip(bytes_of(a), bytes_of(b), strict=True):
-            x, y = shingle_set(x, width), shingle_set(y, width)
+            x, y = sets(x), sets(y)
             both = len(x & y)
             out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return pa.array(out, pa.bool_())
@@ -349,7 +390,7 @@ def _alike(similarity: float, width: int):
     return F.arrow_udf(of, "boolean")
 
 
-def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = 5) -> DataFrame:
+def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH) -> DataFrame:
     """roots(fp, root) to (root, top): the groups that texts of at least that similarity join, for
     groups that are joined to another. prints has t (hash of the text), fp and bands.
 
@@ -357,28 +398,28 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
     text with one pivot, which joins most of a large group by few pairs; every pair of different
     groups that is then left in a bucket is compared."""
     texts = prints.groupBy("t").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands")).join(roots, "fp")
-    held = texts.select("t", "root", F.posexplode("bands").alias("band", "key"))
+    held = texts.select("t", "root", F.explode("bands").alias("key"))
 
     def mixed(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "key")
-        return cut(rows.join(several, ["band", "key"]))
+        several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        return cut(rows.join(bounded(cut(several)), "key"))
 
     held = mixed(held)
     source = docs.select(F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     source = cut(source.join(bounded(cut(held.select("t").distinct())), "t", "left_semi").dropDuplicates(["t"]))
     found = tested = None
     for turn in range(100):
-        sizes = held.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        sizes = held.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         left = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
         if not left["rows"]:
             break
         last = left["pairs"] <= 4 * left["rows"] or turn >= 3
         if last:
-            other = held.select("band", "key", F.col("t").alias("t2"), F.col("root").alias("root2"))
+            other = held.select("key", F.col("t").alias("t2"), F.col("root").alias("root2"))
         else:
             first = F.min(F.struct(F.xxhash64("t", F.lit(turn)).alias("h"), "t", "root")).alias("x")
-            other = held.groupBy("band", "key").agg(first).select("band", "key", F.col("x.t").alias("t2"), F.col("x.root").alias("root2"))
-        pairs = held.join(other, ["band", "key"]).where("root <> root2")
+            other = held.groupBy("key").agg(first).select("key", F.col("x.t").alias("t2"), F.col("x.root").alias("root2"))
+        pairs = held.join(other, "key").where("root <> root2")
         pairs = pairs.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -392,7 +433,7 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
         found = components(links).toDF("root", "top")
         if last:
             break
-        held = mixed(held.join(found, "root", "left").select("t", F.coalesce("top", "root").alias("root"), "band", "key"))
+        held = mixed(held.join(found, "root", "left").select("t", F.coalesce("top", "root").alias("root"), "key"))
     return roots.select("root", F.col("root").alias("top")).where("false") if found is None else found
 
 
