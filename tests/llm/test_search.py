@@ -153,12 +153,59 @@ def test_lm_base(spark, extra):
     assert np.allclose([x[5] for x in found], [x[5] for x in expected], rtol=1e-9)
 
 
-def test_lm_blocks_do_not_matter_to_counts(spark, sf):
+def test_lm_blocks_do_not_matter(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    one, many = (sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.score(docs, block_bytes=b).collect()) for b in (10**9, 30_000))
+    one, many = (sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(docs, block_bytes=b).collect()) for b in (10**9, 30_000))
     assert one == many
 
 
+def plain_score(rows):
+    """score by dictionaries: EM on the deleted documents, then the mixture of all training counts."""
+    docs = [(k, WORD.findall(low(t)) + [None], crc32(("" if k is None else str(k)).encode()) % 7) for k, t in rows]
+
+    def model(use):
+        word, pair = Counter(), Counter()
+        for _, ws, f in docs:
+            if use(f):
+                word.update(ws)
+                pair.update(zip([None, *ws], ws, strict=False))
+        return word, pair, sum(word.values())
+
+    def parts(ws, word, pair, n):
+        for a, w in zip([None, *ws], ws, strict=False):
+            yield (0 if not word[a] else word[a].bit_length()), pair[a, w] / max(word[a], 1), word[w] / max(n, 1)
+
+    word, pair, n = model(lambda f: f != 2)
+    zero = 1 / (len(word) + 1)
+    others = model(lambda f: f not in (2, 3))
+    cells = Counter()
+    for _, ws, f in docs:
+        if f == 3:
+            cells.update((b, *(lm.NONE if not p else round(math.log10(p) * 20) for p in ps)) for b, *ps in parts(ws, *others))
+    weights = {b: [0.0, 0.5, 0.5] if not b else [1 / 3] * 3 for b in range(65)}
+    for b in {c[0] for c in cells}:
+        own = [([0.0 if x == lm.NONE else 10 ** (x / 20) for x in c[1:]] + [zero], k) for c, k in cells.items() if c[0] == b]
+        for _ in range(50):
+            new = [0.0] * 3
+            for ps, k in own:
+                shares = [w * p for w, p in zip(weights[b], ps, strict=True)]
+                new = [x + k * y / sum(shares) for x, y in zip(new, shares, strict=True)]
+            weights[b] = [x / sum(new) for x in new]
+        low_ = [0.0 if not b else 1e-6, 1e-6, 1e-6]
+        raised = [max(x, y) for x, y in zip(weights[b], low_, strict=True)]
+        weights[b] = [x / sum(raised) for x in raised]
+    return [(k, sum(math.log10(sum(w * p for w, p in zip(weights[b], (*ps, zero), strict=True))) for b, *ps in parts(ws, word, pair, n))) for k, ws, _ in docs]
+
+
+def test_lm_score_against_plain_version(spark, sf):
+    for docs in (documents(spark), spark.read.parquet(f"{sf}/documents.parquet")):
+        want = sorted(plain_score([(r["doc_id"], r["text"]) for r in docs.collect()]), key=repr)
+        got = sorted(((r["doc_id"], r["score"]) for r in lm.score(docs, block_bytes=50_000).collect()), key=repr)
+        assert sorted(map(repr, (k for k, _ in want))) == sorted(map(repr, (k for k, _ in got)))
+        for k in {k for k, _ in want}:
+            assert np.allclose(sorted(x for i, x in want if i == k), sorted(x for i, x in got if i == k), rtol=1e-6)
+
+
 def test_lm_beats_its_base_on_held_out_text(spark):
     rows = [r for r in lm.op9_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > 1.1 * sum(r["base_score"] for r in rows)

@@ -132,3 +132,23 @@ def test_stage_joins_copies_that_fingerprints_cannot_see(spark, family):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()) == want
     assert len(want) < simhash.keep_one(docs).count()
+    if family == 60:  # every bucket is large, taken apart and dealt as pairs of parts
+        found = simhash.keep_one(docs, similarity=0.8, few=0, bucket_rows=40, part_shingles=3000)
+        assert sorted(r["doc_id"] for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sets_of_a_bucket_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50)))) for _ in range(80)]
+    label = rng.integers(0, 70, 80)
+    i, j = simhash.alike_in(sets, label, 0.6, columns=16)
+    got, want = label.copy(), label.copy()
+    for x, y in zip(i, j, strict=True):
+        got[got == got[x]] = got[y]
+    for x in range(80):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if both >= 0.6 * (len(sets[x]) + len(sets[y]) - both):
+                want[want == want[x]] = want[y]
+    assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))

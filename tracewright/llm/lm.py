@@ -3,11 +3,13 @@
 A word's probability mixes three estimates: its share after the word before it, its share of all
 training tokens, and one over the vocabulary. The mixture's weights depend on how often the word
 before was seen (buckets by powers of two) and are learned by expectation-maximisation on deleted
-counts: a seventh of the blocks of documents is scored with its own counts taken out of the model.
+counts: the training documents whose crc32 of the id mod 7 is 3 are scored with the counts of all of
+them taken out of the model. That choice, and so every score, depends on the table alone, never on
+how documents are dealt to blocks. EM sees probabilities in steps of a twentieth of a decade.
 
 Counting and looking up are one round trip, and nothing that grows with the corpus is broadcast or
-collected. Documents are dealt by hash into blocks of about ``block_bytes``. A block sends each of
-its distinct words and word pairs once, as sorted 64-bit hashes (their steps, in six bytes as a
+collected. Documents are dealt by hash into blocks of about ``block_bytes``, the deleted ones into
+blocks of their own. A block sends each of its distinct words and word pairs once, as sorted 64-bit hashes (their steps, in six bytes as a
 rule) with its training counts, packed by key range; a key range adds up what all blocks sent and
 answers each block in the order asked. The answers are cut to the shared folder and met again with
 their block's texts, first for the deleted blocks, then for all. A block, its tables of hashes and
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fold, release, table
 
-DELETE_EVERY = 7
+HELD_OUT, DELETED = 2, 3  # of crc32 of the id mod 7
 BIN = 20  # of a decade of probability, in EM's histogram
 NONE = -(10**6)
 END = b" end "  # no word has a space
@@ -138,25 +140,32 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def answer(blocks: list[bytes], counts: list[bytes], n_words: list[int]) -> tuple[list[bytes], int, int]:
-    """Each block's keys with the sums over all blocks; the training tokens and distinct words."""
+def answer(blocks: list[bytes], counts: list[bytes], n_words: list[int], deleted: list[bool]) -> tuple[list[bytes], list[bytes], list[int], int]:
+    """Each block's keys with the sums over all blocks and, for deleted blocks, with the sums over
+    the others; the training tokens of all and of deleted blocks; the distinct training words."""
     own, keys = [unpack(x) for x in counts], []
     for data, c, n in zip(blocks, own, n_words, strict=True):
         words, rest = unpack_keys(data, n)
         keys.append(np.concatenate((words, unpack_keys(rest, len(c) - n)[0])))
-    out, tokens, types = [np.zeros(len(k), np.int64) for k in keys], 0, 0
+    out, less, tokens, types = [np.zeros(len(k), np.int64) for k in keys], [np.zeros(len(k) * d, np.int64) for k, d in zip(keys, deleted, strict=True)], [0, 0], 0
     for word in (True, False):
         parts = [slice(0, n) if word else slice(n, None) for n in n_words]
         sizes = [len(k[s]) for k, s in zip(keys, parts, strict=True)]
         _, at = np.unique(np.concatenate([k[s] for k, s in zip(keys, parts, strict=True)]), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([c[s] for c, s in zip(own, parts, strict=True)])).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        if not len(at):
+            continue
+        each = np.concatenate([c[s] for c, s in zip(own, parts, strict=True)])
+        sums = np.bincount(at, each).astype(np.int64)
+        gone = np.bincount(at, each * np.repeat(deleted, sizes)).astype(np.int64)
         if word:
-            tokens, types = int(sums.sum()), int((sums > 0).sum())
+            tokens, types = [int(sums.sum()), int(gone.sum())], int((sums > 0).sum())
         start = 0
-        for o, s, n in zip(out, parts, sizes, strict=True):
+        for o, x, s, n, d in zip(out, less, parts, sizes, deleted, strict=True):
             o[s] = sums[at[start : start + n]]
+            if d:
+                x[s] = (sums - gone)[at[start : start + n]]
             start += n
-    return [pack(o) for o in out], tokens, types
+    return [pack(o) for o in out], [pack(x) if d else b"" for x, d in zip(less, deleted, strict=True)], tokens, types
 
 
 def bucket(seen: np.ndarray) -> np.ndarray:
@@ -199,23 +208,26 @@ def score(docs: DataFrame | Callable[[], DataFrame], id_col: str = "doc_id", tex
     shuffle files of one can be deleted before the next begins.
 
     Documents whose crc32 of the id mod 7 is 2 are held out of all counts. A null or empty text is
-    its end token alone; rows with equal ids are documents of their own and all count; a null id
-    counts as the empty id for held_out. Where no document trains, every token is unknown. Extra
-    columns are not read. An empty table gives no rows."""
+    its end token alone; a very long one is part of one block, which grows by it; rows with equal ids
+    are documents of their own and all count; a null id counts as the empty id for held_out. Where no
+    document trains, every token is unknown; where none is deleted, all estimates weigh the same.
+    Ties do not arise: counts have no order. Extra columns are not read. An empty table gives no rows."""
     import pyarrow as pa
 
     def rows() -> DataFrame:
         found = docs() if callable(docs) else docs
-        return found.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), (fold(F.col(id_col), 7) == 2).alias("held_out"))
+        return found.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), (fold(F.col(id_col), 7) == HELD_OUT).alias("held_out"), (fold(F.col(id_col), 7) == DELETED).alias("deleted"))
 
     spark = SparkSession.active()
     id_type = dict(rows().dtypes)["doc_id"]
     size = rows().agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
     blocks = max(-(-size // block_bytes), min(spark.sparkContext.defaultParallelism, size // 50_000), 1)
+    few = max(1, blocks // 7)  # blocks of deleted documents come first
     parts = max(2 * blocks, min(256, size // 50_000), 1)  # narrow ranges make small steps
 
     def dealt() -> DataFrame:
-        return rows().withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+        place = F.xxhash64("doc_id", "text")
+        return rows().withColumn("b", F.when(F.col("deleted"), F.pmod(place, F.lit(few))).otherwise(few + F.pmod(place, F.lit(blocks))).cast("int")).drop("deleted")
 
     def block_of(texts: pa.Table) -> Block:
         return Block(texts["text"], ~texts["held_out"].to_numpy().astype(bool), parts)
@@ -227,23 +239,23 @@ def score(docs: DataFrame | Callable[[], DataFrame], id_col: str = "doc_id", tex
         return pa.table([pa.array([b] * len(found), pa.int32()), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.int64())))], ["b", "p", "keys", "counts", "n_words"])
 
     def reply(group: pa.Table) -> pa.Table:
-        sent, tokens, types = answer(group["keys"].to_pylist(), group["counts"].to_pylist(), group["n_words"].to_pylist())
+        deleted = [b < few for b in group["b"].to_pylist()]
+        sent, less, tokens, types = answer(group["keys"].to_pylist(), group["counts"].to_pylist(), group["n_words"].to_pylist(), deleted)
         first = [True] + [False] * (len(sent) - 1)
         return pa.table(
-            [group["b"], group["p"], pa.array(sent, pa.binary()), pa.array([tokens * x for x in first], pa.int64()), pa.array([types * x for x in first], pa.int64())],
-            ["b", "p", "counts", "tokens", "types"],
+            [group["b"], group["p"], pa.array(sent, pa.binary()), pa.array(less, pa.binary()), *(pa.array([n * x for x in first], pa.int64()) for n in (*tokens, types))],
+            ["b", "p", "counts", "others", "tokens", "gone", "types"],
         )
 
     def round_trip() -> DataFrame:
         asked = dealt().groupBy("b").applyInArrow(ask, "b int, p int, keys binary, counts binary, n_words long")
-        return cut(asked.groupBy("p").applyInArrow(reply, "b int, p int, counts binary, tokens long, types long"))
+        return cut(asked.groupBy("p").applyInArrow(reply, "b int, p int, counts binary, others binary, tokens long, gone long, types long"))
 
     answers = round_trip()
     release(spark)
-    known = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    n_train, n_types = known["tokens"] or 0, known["types"] or 0
+    known = answers.agg(F.sum("tokens").alias("tokens"), F.sum("gone").alias("gone"), F.sum("types").alias("types")).first()
+    n_train, n_gone, n_types = known["tokens"] or 0, known["gone"] or 0, known["types"] or 0
     zero = 1 / (n_types + 1)
-    answers = answers.select("b", "p", "counts")
 
     def held(group: pa.Table) -> dict[int, bytes]:
         return dict(zip(group["p"].to_pylist(), group["counts"].to_pylist(), strict=True))
@@ -251,13 +263,15 @@ def score(docs: DataFrame | Callable[[], DataFrame], id_col: str = "doc_id", tex
     def deleted(texts: pa.Table, replies: pa.Table) -> pa.Table:
         block = block_of(texts)
         words, pairs = block.counts(held(replies))
-        context, pair, word = _estimates(block, words - block.own_words, pairs - block.own_pairs, n_train - int(block.own_words.sum()))
+        context, pair, word = _estimates(block, words, pairs, n_train - n_gone)
         found = np.stack([bucket(context), _bins(pair), _bins(word)], 1)[block.trained]
         cells, n = np.unique(found, axis=0, return_counts=True)
         return pa.table([*(pa.array(cells[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], ["bucket", "pair", "word", "n"])
 
-    some = F.col("b") % DELETE_EVERY == 0
-    cells = dealt().where(some).groupBy("b").cogroup(answers.where(some).groupBy("b")).applyInArrow(deleted, "bucket long, pair long, word long, n long")
+    some = F.col("b") < few
+    others = answers.where(some).select("b", "p", F.col("others").alias("counts"))
+    answers = answers.select("b", "p", "counts")
+    cells = dealt().where(some).groupBy("b").cogroup(others.groupBy("b")).applyInArrow(deleted, "bucket long, pair long, word long, n long")
     weights = learn([tuple(r) for r in cells.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()], zero)
     del cells
     release(spark)

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, bytes_of, cut, free_name, row_key, table
+from .common import bounded, bytes_of, cut, free_name, release, row_key, table
 from .components import components
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: float | None = None, **how) -> DataFrame:
     """The rows of docs that stay when each near-duplicate group keeps one: the row with the
     smallest id, and of several rows with that id the one with the least row key; of rows equal in
     id and text any one. Null ids stay only where the group has no other. Columns as in docs. With a
@@ -316,7 +316,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     prints = cut(prints.select("doc_id", "k1", "k2", "t", "s.fp", "s.bands"))
     placed = cut(groups(prints, "doc_id", max_bits).select("fp", "root"))
     if similarity is not None:
-        joined = similar(docs, prints, placed, text_col, similarity)
+        joined = similar(docs, prints, placed, text_col, similarity, **how)
         placed = placed.join(bounded(joined), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     rows = prints.groupBy("fp", "doc_id", "k1", "k2").agg(F.count("*").alias("n")).join(placed, "fp")
@@ -390,50 +390,132 @@ def _alike(similarity: float, width: int):
     return F.arrow_udf(of, "boolean")
 
 
-def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH) -> DataFrame:
+def alike_in(sets: list[np.ndarray], label: np.ndarray, similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): links that join what all pairs of at least that Jaccard similarity join, for sets of
+    hashes and their groups so far. Shared members are counted by products of blocks of the
+    membership matrix, so all pairs are exact and none is a row."""
+    sizes = np.array([len(x) for x in sets])
+    members, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column, minlength=len(members)) > 1
+    place = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(often.sum()), columns):
+        part = slice(*np.searchsorted(column, (at, at + columns)))
+        block = np.zeros((len(sets), columns), np.float32)
+        block[row[part], column[part] - at] = 1
+        both += block @ block.T
+    i, j = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes[None] - both) - 1e-4, 1) & (label[:, None] != label[None]))
+    first = np.unique(label, return_index=True, return_inverse=True)[2]
+    merged = _merge(np.arange(len(sets)), first[i], first[j])
+    least = np.full(len(sets), -1)
+    least[first[::-1]] = np.arange(len(sets))[::-1]
+    a = np.flatnonzero(merged != np.arange(len(sets)))
+    return least[a], least[merged[a]]
+
+
+def _hashed(width: int):
+    import pyarrow as pa
+
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(x, width)).view(np.int64) for x in bytes_of(texts)], pa.list_(pa.int64()))
+
+    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of, "array<long>")
+
+
+def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH, few: int = 8, bucket_rows: int = 1024, part_shingles: int = 1_000_000) -> DataFrame:
     """roots(fp, root) to (root, top): the groups that texts of at least that similarity join, for
     groups that are joined to another. prints has t (hash of the text), fp and bands.
 
-    Only texts of different groups that share a band are compared. Large buckets first compare each
-    text with one pivot, which joins most of a large group by few pairs; every pair of different
-    groups that is then left in a bucket is compared."""
-    texts = prints.groupBy("t").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands")).join(roots, "fp")
-    held = texts.select("t", "root", F.explode("bands").alias("key"))
+    Only texts of different groups that share a band (a bucket) are compared; in a bucket of at most
+    ``few`` texts all of them. In a larger one the text with the most company is compared with the
+    others first: the centre of a family of copies shares more bands with its copies than they do
+    with each other, so this joins most of a family by as many pairs as it has texts, and buckets of
+    one group are done. What is left of a bucket is compared as a whole, on its texts' hashed
+    shingles; one of more than ``bucket_rows`` texts is first taken apart by a second and a third
+    shared band (a pair at exactly 0.8 lacks these with a probability of 4e-4), and one of more than
+    ``part_shingles`` is dealt as pairs of parts, so a task's work is bounded."""
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    texts = cut(prints.where(F.size("bands") > 0).groupBy("t").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands")).join(roots, "fp").select("t", "root", "bands"))
 
     def mixed(rows: DataFrame) -> DataFrame:
         several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         return cut(rows.join(bounded(cut(several)), "key"))
 
-    held = mixed(held)
+    def joined(found: DataFrame | None, ends: DataFrame) -> DataFrame | None:
+        """The groups with further links (a, b) between roots."""
+        ends = cut(ends.where("a <> b").distinct())
+        if ends.isEmpty():
+            return found
+        return cut(components(ends if found is None else ends.unionByName(found.toDF("a", "b"))).toDF("root", "top"))
+
+    def renamed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        return rows if found is None else rows.join(bounded(found), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+    held = mixed(texts.select("t", "root", F.posexplode("bands").alias("at", "key")))
+    if held.isEmpty():
+        return roots.select("root", F.col("root").alias("top")).where("false")
+    sizes = cut(held.groupBy("key").agg(F.count("*").alias("n")))
+    company = cut(held.join(bounded(sizes), "key").groupBy("t").agg(F.sum("n").alias("company")))
+    bands = cut(texts.join(bounded(company), "t").select("t", "root", "bands"))
     source = docs.select(F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
-    source = cut(source.join(bounded(cut(held.select("t").distinct())), "t", "left_semi").dropDuplicates(["t"]))
-    found = tested = None
-    for turn in range(100):
-        sizes = held.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not left["rows"]:
-            break
-        last = left["pairs"] <= 4 * left["rows"] or turn >= 3
-        if last:
-            other = held.select("key", F.col("t").alias("t2"), F.col("root").alias("root2"))
-        else:
-            first = F.min(F.struct(F.xxhash64("t", F.lit(turn)).alias("h"), "t", "root")).alias("x")
-            other = held.groupBy("key").agg(first).select("key", F.col("x.t").alias("t2"), F.col("x.root").alias("root2"))
-        pairs = held.join(other, "key").where("root <> root2")
-        pairs = pairs.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        near = bounded(pairs)
-        one = source.join(near, F.col("t") == F.col("a")).select("a", "b", F.col("text").alias("x"))
-        two = source.join(near, F.col("t") == F.col("b")).select("a", "b", F.col("text").alias("y"))
-        good = cut(one.join(two, ["a", "b"]).where(_alike(similarity, width)("x", "y")).select("a", "b"))
-        of = texts.select("t", "root") if found is None else texts.select("t", "root").join(found, "root", "left").select("t", F.coalesce("top", "root").alias("root"))
-        ends = good.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        links = ends if found is None else ends.unionByName(found.select(F.col("root").alias("a"), F.col("top").alias("b")))
-        found = components(links).toDF("root", "top")
-        if last:
+    source = cut(source.join(bounded(company.select("t")), "t", "left_semi").dropDuplicates(["t"]))
+    release(spark)
+
+    small = held.join(bounded(sizes.where(F.col("n") <= few).select("key")), "key", "left_semi")
+    small = small.join(small.select("key", F.col("t").alias("t2"), F.col("root").alias("root2")), "key")
+    large = held.join(bounded(sizes.where(F.col("n") > few).select("key")), "key", "left_semi")
+    centre = large.join(bounded(company), "t").groupBy("key").agg(F.max(F.struct("company", "t", "root")).alias("x"))
+    centre = cut(centre.select("key", F.col("x.t").alias("t2"), F.col("x.root").alias("root2")))
+    large = large.join(bounded(centre), "key").where("t <> t2")
+    met = small.unionByName(large).where("root <> root2")
+    pairs = cut(met.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct())
+    near = bounded(pairs)
+    one = source.join(near, F.col("t") == F.col("a")).select("a", "b", F.col("text").alias("x"))
+    two = source.join(near, F.col("t") == F.col("b")).select("a", "b", F.col("text").alias("y"))
+    good = bounded(cut(one.join(two, ["a", "b"]).where(_alike(similarity, width)("x", "y")).select("a", "b")))
+    of = bands.select("t", "root")
+    found = joined(None, good.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+    held, left = mixed(renamed(large.select("t", "root", "at", "key"), found)), None
+    for turn in range(3):
+        sizes = cut(held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (bucket_rows if turn < 2 else 0)))
+        if sizes.isEmpty():
             break
-        held = mixed(held.join(found, "root", "left").select("t", F.coalesce("top", "root").alias("root"), "key"))
+        rest = held.join(bounded(sizes), "key", "left_anti")
+        left = rest if left is None else left.unionByName(rest)
+        wide = held.join(bounded(sizes.select("key")), "key", "left_semi")
+        if turn < 2:
+            wide = wide.join(bounded(bands.select("t", "bands")), "t").select("t", "root", "key", F.col("at").alias("after"), F.posexplode("bands").alias("at", "band"))
+            held = mixed(wide.where("at > after").select("t", "root", "at", F.xxhash64("key", "band").alias("key")))
+    left = held if left is None else left.unionByName(held)
+    left = cut(left.select("t", "root", "key"))
+    if left.isEmpty():
+        return roots.select("root", F.col("root").alias("top")).where("false") if found is None else found
+    wanted = source.join(bounded(cut(left.select("t").distinct())), "t", "left_semi")
+    sets = cut(wanted.select("t", _hashed(width)("text").alias("hashes")))
+    weights = left.join(bounded(cut(sets.select("t", F.size("hashes").alias("n")))), "t").groupBy("key").agg(F.ceil(F.sum("n") / part_shingles).cast("int").alias("parts"))
+    home = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
+    pair = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != home) | (F.col("parts") == 1)), lambda j: (F.least(j, home) * F.col("parts") + F.greatest(j, home)).cast("int"))
+    dealt = left.join(bounded(cut(weights)), "key").select("key", "t", "root", F.explode(pair).alias("part")).join(sets, "t")
+
+    def compared(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["t"].to_numpy(), kind="stable")
+        label = group["root"].to_numpy()[order]
+        hashes = group["hashes"].combine_chunks().take(pa.array(order))
+        values, ends = hashes.flatten().to_numpy(), np.cumsum(hashes.value_lengths().to_numpy())
+        i, j = alike_in(np.split(values, ends[:-1]), label, similarity)
+        return pa.table([pa.array(label[i]), pa.array(label[j])], ["a", "b"])
+
+    found = joined(found, dealt.select("key", "part", "t", "root", "hashes").groupBy("key", "part").applyInArrow(compared, "a long, b long"))
+    release(spark)
     return roots.select("root", F.col("root").alias("top")).where("false") if found is None else found
 
 
