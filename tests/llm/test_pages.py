@@ -66,6 +66,40 @@ def test_zones_of_names(source, want):
     assert html.main_text(source, None) == want
 
 
+def test_wrapper_decides_inside_an_article():
+    """A notice without a telling name, the same on every page, stands inside the article."""
+    pages = [f"<body><article><h1>Head {i}</h1><div class=box>Our terms changed</div>" + "".join(f"<p>Text {i}.{k}</p>" for k in range(i % 3 + 1)) + "</article></body>" for i in range(6)]
+    wrapper = json.loads(json.dumps(html.infer(pages[:4])))
+    for i, page in enumerate(pages):
+        want = [f"Head {i}", *(f"Text {i}.{k}" for k in range(i % 3 + 1))]
+        assert html.main_text(page, wrapper, {}) == "\n".join(want)
+        assert html.main_text(page, None) == "\n".join([want[0], "Our terms changed", *want[1:]])
+
+
+def test_wrapper_decides_without_telling_names():
+    pages = [f"<body><div class=x1><p>Top line</p></div><div class=x2><h3>Head {i}</h3><p>Story {i}</p></div><div class=x3><p>Bottom line</p></div></body>" for i in range(5)]
+    wrapper = json.loads(json.dumps(html.infer(pages[:4])))
+    assert [html.main_text(p, wrapper, {}) for p in pages] == [f"Head {i}\nStory {i}" for i in range(5)]
+    assert html.main_text(pages[4], None) == "Top line\nHead 4\nStory 4\nBottom line"
+
+
+@pytest.mark.parametrize("bits", [1, 40, 10**9])
+def test_alignment_is_a_longest_common_subsequence(bits, monkeypatch):
+    monkeypatch.setattr(html, "MOST_BITS", bits)
+    rng = random.Random(bits)
+    for _ in range(150):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        found = html._matches(x, y)
+        assert all(x[i] == y[j] for i, j in found) and found == sorted(found)
+        assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found) == best[-1][-1]
+        covered = [(a, b, c, d) for _, a, b, c, d in html._steps([[s] for s in x], [[s] for s in y])]
+        assert sum(b - a for a, b, _, _ in covered) == len(x) and sum(d - c for _, _, c, d in covered) == len(y)
+
+
 def test_wrapper_has_slots_options_and_repeats():
     wrapper = html.infer([site(1, 1, 0), site(2, 3, 2), site(3, 2, 1)])
 
