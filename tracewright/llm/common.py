@@ -101,6 +101,19 @@ def bytes_of(column, rows: int = 128) -> Iterator[bytes]:
             yield x or b""
 
 
+BATCH_ROWS = 1000
+
+
+def by_batch(of, made: str):
+    """of, a function of Arrow arrays, as a vectorised function of columns that gives `made`. Rows
+    are whole texts, so the session's Arrow batches are set to BATCH_ROWS rows at most: a batch is
+    held several times over on its way to Python and back."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return F.arrow_udf(of, made)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, mod parts; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

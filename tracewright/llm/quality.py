@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fold, free_name, table
+from .common import by_batch, bytes_of, fold, free_name, table
 from .labelled import sample
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
@@ -69,7 +69,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pa.array([features(x, bits).astype(np.int32).tobytes() for x in bytes_of(texts)], pa.binary())
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    hashed = sample(docs, labels, max_rows, id_col, text_col).select("doc_id", "y", F.arrow_udf(of, "binary")("text").alias("x"))
+    hashed = sample(docs, labels, max_rows, id_col, text_col).select("doc_id", "y", by_batch(of, "binary")("text").alias("x"))
     rows = sorted(hashed.toLocalIterator(), key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return fit([(np.frombuffer(r["x"], np.int32).astype(np.int64), r["y"]) for r in rows], bits)
 
@@ -86,7 +86,7 @@ def scorer(weights: np.ndarray, bias: float, bits: int):
         return pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "double")
+    return by_batch(of, "double")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 18, max_rows: int = 4000) -> DataFrame:

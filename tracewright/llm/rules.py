@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, free_name, table
+from .common import by_batch, bytes_of, free_name, table
 from .labelled import sample
 
 WINDOW = 5
@@ -200,7 +200,7 @@ def _counted():
         return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], list(COUNTS))
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, ", ".join(f"{c} long" for c in COUNTS))
+    return by_batch(of, ", ".join(f"{c} long" for c in COUNTS))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> Trees:
@@ -222,7 +222,7 @@ def judged(trees: Trees, at_least: float):
         return pa.StructArray.from_arrays(columns, [*COUNTS[:5], "base_failed", "score", "kept"])
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, score double, kept boolean")
+    return by_batch(of, ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, score double, kept boolean")
 
 
 def judge(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, free_name, table
+from .common import bounded, by_batch, cut, free_name, table
 
 SHARDS = 8
 BUCKET_ROWS = 20_000
@@ -42,7 +42,7 @@ def shards_of(shards: int):
         return pa.StructArray.from_arrays([pa.array(jump(k, n).astype(np.int32)) for n in (shards, shards + 1)], ["shard", "grown_shard"])
 
     of.__annotations__ = {"keys": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "shard int, grown_shard int")
+    return by_batch(of, "shard int, grown_shard int")
 
 
 def place(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, bytes_of, cut, free_name, release, row_key, table
+from .common import bounded, by_batch, bytes_of, cut, free_name, release, row_key, table
 from .components import components
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -110,7 +110,7 @@ def fingerprints(shingle: int = 4, width: int | None = None):
         return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "bands"])
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "fp long, bands array<long>")
+    return by_batch(of, "fp long, bands array<long>")
 
 
 # ---------------------------------------------------------------- the index of one upper node
@@ -193,6 +193,20 @@ def _small(codes: np.ndarray, run: np.ndarray, most: int, max_bits: int) -> list
     return out
 
 
+def _gathered(batches: Iterator, rows: int = 20_000) -> Iterator:
+    """Batches put together to about that many rows each."""
+    import pyarrow as pa
+
+    some: list = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.num_rows for b in some) >= rows:
+            yield pa.concat_batches(some)
+            some = []
+    if sum(b.num_rows for b in some):
+        yield pa.concat_batches(some)
+
+
 def _join_nodes(batches: Iterator, max_bits: int) -> Iterator:
     """Batches sorted by (mask, pattern) to links; a node may run on over batches."""
     import pyarrow as pa
@@ -216,9 +230,7 @@ def _join_nodes(batches: Iterator, max_bits: int) -> Iterator:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].astype(np.int64)) for k in (0, 1)], ["a", "b"])
 
     held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _gathered(batches):
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
         last = [c[-1] for c in cols[:2]]
         tail = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]))
@@ -387,7 +399,7 @@ def _alike(similarity: float, width: int):
         return pa.array(out, pa.bool_())
 
     of.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "boolean")
+    return by_batch(of, "boolean")
 
 
 def alike_in(sets: list[np.ndarray], label: np.ndarray, similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -425,7 +437,7 @@ def _hashed(width: int):
         return pa.array([np.unique(shingle_hashes(x, width)).view(np.int64) for x in bytes_of(texts)], pa.list_(pa.int64()))
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, "array<long>")
+    return by_batch(of, "array<long>")
 
 
 def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH, few: int = 8, bucket_rows: int = 1024, part_shingles: int = 1_000_000) -> DataFrame:
