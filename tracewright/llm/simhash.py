@@ -93,24 +93,25 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(shingle: int = 4, width: int | None = None):
-    """A vectorised function from a text column to fingerprints (fp: long, the bits as they are)
-    and, with a width, to the band keys of shingles of that many words."""
+    """A vectorised function from a text column to fingerprints (fp: long, the bits as they are),
+    with a width to the band keys of shingles of that many words, and to the number of shingles."""
     import pyarrow as pa
 
     def of(texts: pa.Array) -> pa.Array:
-        codes, bands = [], []
+        codes, bands, n = [], [], []
         for text in bytes_of(texts):
             hashes = shingle_hashes(text, shingle)
+            n.append(len(hashes))
             codes.append(_signed(majority(hashes)))
             if width == shingle + 1 and len(hashes) > 1:  # two neighbours make the next longer shingle
                 hashes = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(32)))
             elif width and width != shingle + 1:
                 hashes = shingle_hashes(text, width)
             bands.append(band_keys(hashes) if width else None)
-        return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "bands"])
+        return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["fp", "bands", "n"])
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return by_batch(of, "fp long, bands array<long>")
+    return by_batch(of, "fp long, bands array<long>, n long")
 
 
 # ---------------------------------------------------------------- the index of one upper node
@@ -325,7 +326,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     key = row_key(F.col(id_col), F.col(text_col))
     found = fingerprints(shingle, None if similarity is None else WIDTH)(F.col(text_col)).alias("s")
     prints = docs.select(F.col(id_col).alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), F.xxhash64(F.col(text_col)).alias("t"), found)
-    prints = cut(prints.select("doc_id", "k1", "k2", "t", "s.fp", "s.bands"))
+    prints = cut(prints.select("doc_id", "k1", "k2", "t", "s.fp", "s.bands", "s.n"))
     placed = cut(groups(prints, "doc_id", max_bits).select("fp", "root"))
     if similarity is not None:
         joined = similar(docs, prints, placed, text_col, similarity, **how)
@@ -402,7 +403,7 @@ def _alike(similarity: float, width: int):
     return by_batch(of, "boolean")
 
 
-def alike_in(sets: list[np.ndarray], label: np.ndarray, similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def alike_in(sets: list[np.ndarray], label: np.ndarray, similarity: float, columns: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): links that join what all pairs of at least that Jaccard similarity join, for sets of
     hashes and their groups so far. Shared members are counted by products of blocks of the
     membership matrix, so all pairs are exact and none is a row."""
@@ -421,7 +422,13 @@ def alike_in(sets: list[np.ndarray], label: np.ndarray, similarity: float, colum
         block = np.zeros((len(sets), columns), np.float32)
         block[row[part], column[part] - at] = 1
         both += block @ block.T
-    i, j = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes[None] - both) - 1e-4, 1) & (label[:, None] != label[None]))
+    ends = []
+    for at in range(0, len(sets), 512):
+        some = slice(at, at + 512)
+        near = both[some] >= similarity * (sizes[some, None] + sizes[None] - both[some]) - 1e-4
+        x, y = np.nonzero(near & (label[some, None] != label[None]))
+        ends.append((x + at, y))
+    i, j = (np.concatenate(x) for x in zip(*ends, strict=True))
     first = np.unique(label, return_index=True, return_inverse=True)[2]
     merged = _merge(np.arange(len(sets)), first[i], first[j])
     least = np.full(len(sets), -1)
@@ -440,7 +447,7 @@ def _hashed(width: int):
     return by_batch(of, "array<long>")
 
 
-def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH, few: int = 8, bucket_rows: int = 1024, part_shingles: int = 1_000_000) -> DataFrame:
+def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH, few: int = 8, bucket_rows: int = 4096, part_shingles: int = 1_000_000) -> DataFrame:
     """roots(fp, root) to (root, top): the groups that texts of at least that similarity join, for
     groups that are joined to another. prints has t (hash of the text), fp and bands.
 
@@ -455,7 +462,7 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
     import pyarrow as pa
 
     spark = docs.sparkSession
-    texts = cut(prints.where(F.size("bands") > 0).groupBy("t").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands")).join(roots, "fp").select("t", "root", "bands"))
+    texts = cut(prints.where(F.size("bands") > 0).groupBy("t").agg(F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.max("n").alias("shingles")).join(roots, "fp").select("t", "root", "shingles", "bands"))
 
     def mixed(rows: DataFrame) -> DataFrame:
         several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
@@ -471,7 +478,7 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
     def renamed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
         return rows if found is None else rows.join(bounded(found), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
-    held = mixed(texts.select("t", "root", F.posexplode("bands").alias("at", "key")))
+    held = mixed(texts.select("t", "root", "shingles", F.posexplode("bands").alias("at", "key")))
     if held.isEmpty():
         return roots.select("root", F.col("root").alias("top")).where("false")
     sizes = cut(held.groupBy("key").agg(F.count("*").alias("n")))
@@ -482,12 +489,12 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
     release(spark)
 
     small = held.join(bounded(sizes.where(F.col("n") <= few).select("key")), "key", "left_semi")
-    small = small.join(small.select("key", F.col("t").alias("t2"), F.col("root").alias("root2")), "key")
+    small = small.drop("shingles", "at").join(small.select("key", F.col("t").alias("t2"), F.col("root").alias("root2")), "key")
     large = held.join(bounded(sizes.where(F.col("n") > few).select("key")), "key", "left_semi")
     centre = large.join(bounded(company), "t").groupBy("key").agg(F.max(F.struct("company", "t", "root")).alias("x"))
     centre = cut(centre.select("key", F.col("x.t").alias("t2"), F.col("x.root").alias("root2")))
     large = large.join(bounded(centre), "key").where("t <> t2")
-    met = small.unionByName(large).where("root <> root2")
+    met = small.unionByName(large.select(*small.columns)).where("root <> root2")
     pairs = cut(met.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct())
     near = bounded(pairs)
     one = source.join(near, F.col("t") == F.col("a")).select("a", "b", F.col("text").alias("x"))
@@ -496,7 +503,7 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
     of = bands.select("t", "root")
     found = joined(None, good.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
-    held, left = mixed(renamed(large.select("t", "root", "at", "key"), found)), None
+    held, left = mixed(renamed(large.select("t", "root", "shingles", "at", "key"), found)), None
     for turn in range(3):
         sizes = cut(held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (bucket_rows if turn < 2 else 0)))
         if sizes.isEmpty():
@@ -505,15 +512,15 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
         left = rest if left is None else left.unionByName(rest)
         wide = held.join(bounded(sizes.select("key")), "key", "left_semi")
         if turn < 2:
-            wide = wide.join(bounded(bands.select("t", "bands")), "t").select("t", "root", "key", F.col("at").alias("after"), F.posexplode("bands").alias("at", "band"))
-            held = mixed(wide.where("at > after").select("t", "root", "at", F.xxhash64("key", "band").alias("key")))
+            wide = wide.join(bounded(bands.select("t", "bands")), "t").select("t", "root", "shingles", "key", F.col("at").alias("after"), F.posexplode("bands").alias("at", "band"))
+            held = mixed(wide.where("at > after").select("t", "root", "shingles", "at", F.xxhash64("key", "band").alias("key")))
     left = held if left is None else left.unionByName(held)
-    left = cut(left.select("t", "root", "key"))
+    left = cut(left.select("t", "root", "shingles", "key"))
     if left.isEmpty():
         return roots.select("root", F.col("root").alias("top")).where("false") if found is None else found
     wanted = source.join(bounded(cut(left.select("t").distinct())), "t", "left_semi")
     sets = cut(wanted.select("t", _hashed(width)("text").alias("hashes")))
-    weights = left.join(bounded(cut(sets.select("t", F.size("hashes").alias("n")))), "t").groupBy("key").agg(F.ceil(F.sum("n") / part_shingles).cast("int").alias("parts"))
+    weights = left.groupBy("key").agg(F.ceil(F.sum("shingles") / part_shingles).cast("int").alias("parts"))
     home = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
     pair = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != home) | (F.col("parts") == 1)), lambda j: (F.least(j, home) * F.col("parts") + F.greatest(j, home)).cast("int"))
     dealt = left.join(bounded(cut(weights)), "key").select("key", "t", "root", F.explode(pair).alias("part")).join(sets, "t")
