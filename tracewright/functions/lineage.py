@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new temporary folder where it is unset (one machine, as in tests)."""
+    """spark.checkpoint.dir, or a new temporary folder where it is unset and all tasks run on this
+    machine, as in tests. On a cluster an unset folder is an error: executors could not share it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(where)
     return where

@@ -2,26 +2,79 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_dir
 from ..operators import drawing, model_graph, program, solver, traverse
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
-from ..sources.orders import duckdb_tables, tables
+from ..sources.orders import build, duckdb_tables, state, tables
+from .api import Engine
 
 BACK, AHEAD, MIDDLE = "M5-2001", "M1-1995", "M3-1998"
 _FLOWS: dict = {}
 
 
 def flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
-    """The flow graph of a folder, built once for a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The flow graph of a folder, built once for a session and a state of its files."""
+    key = state(spark, sf_dir)
     if key not in _FLOWS:
+        _FLOWS.clear()
         _FLOWS[key] = FlowGraph(tables(spark, sf_dir))
     return _FLOWS[key]
 
 
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables and the flow graph built anew: how many rows each has."""
+    made = build(spark, sf_dir)
+    graph = FlowGraph(made)
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in (*made.items(), ("hyperedges", graph.edges), ("variables", graph.rows))]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's three answers, as it writes them: model graph, records of the chosen models,
+    timeline of a model. The second is the solver's, so SQL has no word on it."""
+    engine = Engine(tables(spark, sf_dir))
+    found = {"model_graph": engine.model_graph(generate=True), "optimal_path": engine.optimal_path(generate=True), "timeline": engine.timeline(MIDDLE)}
+    return reduce(DataFrame.unionByName, [engine.response(df).select(F.lit(name).alias("call"), "json") for name, df in found.items()])
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables as documents, written as JSON, read and normalised again: runs by their records."""
+    t = tables(spark, sf_dir)
+    lists = lambda df, key, value, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("l")).select(key, F.col(f"l.{value}").alias(name))
+    window = F.struct(F.col("t_begin").cast("long").alias("begin"), F.col("t_end").cast("long").alias("end"))
+    dsir = t["dsir"].join(lists(t["dsir_parent"], "dsir_id", "parent_id", "parents"), "dsir_id", "left").join(lists(t["dsir_child"], "dsir_id", "child_id", "children"), "dsir_id", "left")
+    dsir = dsir.select(F.col("dsir_id").alias("_id"), "created_by", F.struct("model_type", window.alias("temporal")).alias("metadata"), "parents", "children", F.col("dsar_id").alias("dsar"))
+    dsar = t["dsar"].join(lists(t["dsar_dsir"], "dsar_id", "dsir_id", "dsir_list"), "dsar_id", "left")
+    dsar = dsar.select(F.col("dsar_id").alias("_id"), "created_by", F.struct("model_type").alias("metadata"), "dsir_list")
+    jobs = t["job"].join(lists(t["job_dsar"], "job_id", "dsar_id", "input_dsars"), "job_id", "left")
+    jobs = jobs.select(F.col("job_id").cast("string").alias("_id"), "input_dsars", "output_dsir", "model_type", "relevance")
+    folder = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    for name, df in (("dsir", dsir), ("dsar", dsar), ("jobs", jobs)):
+        df.write.json(f"{folder}/{name}")
+    again = documents.normalise(*documents.read_documents(spark, folder))
+    runs = again["job"].join(again["job_dsar"], "job_id").select(F.col("output_dsir").alias("record"), F.col("dsar_id").alias("other"), "pos", F.lit("input").alias("side"))
+    parents = again["dsir_parent"].select(F.col("dsir_id").alias("record"), F.col("parent_id").alias("other"), "pos", F.lit("parent").alias("side"))
+    children = again["dsir_child"].select(F.col("dsir_id").alias("record"), F.col("child_id").alias("other"), "pos", F.lit("child").alias("side"))
+    members = again["dsar_dsir"].select(F.col("dsar_id").alias("record"), F.col("dsir_id").alias("other"), "pos", F.lit("member").alias("side"))
+    return runs.unionByName(parents).unionByName(children).unionByName(members)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's writes in turn: groups are appended twice over, a field is set, the last of each
+    id counts, and a truncated table adds nothing."""
+    groups = t_groups = tables(spark, sf_dir)["dsar"].withColumn("seq", F.lit(0))
+    later = store.set_field(t_groups.where("created_by = 'AlignmentManager'"), "model_type", F.lit("written")).withColumn("seq", F.lit(1))
+    rows = store.insert(store.insert(groups, later), store.truncate(later))
+    return store.upsert(rows, ["dsar_id"], "seq").select("dsar_id", "created_by", "model_type")
+
+
 def _on_tables(of):
     return lambda spark, sf_dir: of(tables(spark, sf_dir))
 
@@ -76,10 +129,13 @@ def _adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries whose answer SQL cannot find; tests hold them against the program and plain search.
-NO_ORACLE = {"lp_optimum", "optimal_path"}
+NO_ORACLE = {"lp_optimum", "optimal_path", "service_answers", "viz_optimum"}
 
 QUERIES = {
     # sources
+    "build_all": _built,
+    "documents_normalised": _normalised,
+    "store_writes": _written,
     "scan_all": _on_tables(lambda t: store.find(t["dsir"])),
     "scan_filtered": _on_tables(lambda t: store.find(t["dsar"], {"created_by": "PostSynchronizationManager"}, ["dsar_id", "model_type"])),
     "scan_first_match": _on_tables(lambda t: store.find_first(t["dsir_parent"], ["dsir_id"], ["pos"])),
@@ -127,7 +183,10 @@ QUERIES = {
     # drawing
     "viz_edges": _on_rows(drawing.edge_list),
     "viz_optimal_edges": _drawn,
+    "viz_optimum": _on_rows(lambda r: drawing.edge_list(r, solver.solve(r))),
     "viz_scenes": _on_rows(drawing.scenes),
+    # service
+    "service_answers": _answers,
 }
 
 # ---------------------------------------------------------------- DuckDB
@@ -225,6 +284,14 @@ _EXACT = [{3: 1, 8: -1}, {6: 1, 13: -1}, {9: 1, 11: -1}]
 _FIRST = [{3: 1, 7: -1}, {6: 1, 12: -1}, {9: 1, 10: -1}]
 
 ORACLES = {
+    "build_all": _sql(
+        " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {cte}" for name, cte in (*((t, t) for t in ("dsir", "dsir_parent", "dsir_child", "dsar", "dsar_dsir", "job", "job_dsar")), ("hyperedges", "edge"), ("variables", "inc"))), _FG
+    ),
+    "documents_normalised": _sql(
+        "SELECT j.output_dsir AS record, i.dsar_id AS other, i.pos, 'input' AS side FROM job j JOIN job_dsar i USING (job_id) UNION ALL SELECT dsir_id, parent_id, pos, 'parent' FROM dsir_parent"
+        " UNION ALL SELECT dsir_id, child_id, pos, 'child' FROM dsir_child UNION ALL SELECT dsar_id, dsir_id, pos, 'member' FROM dsar_dsir"
+    ),
+    "store_writes": _sql("SELECT dsar_id, created_by, CASE WHEN created_by = 'AlignmentManager' THEN 'written' ELSE model_type END AS model_type FROM dsar"),
     "scan_all": _sql("SELECT dsir_id, created_by, model_type, t_begin, t_end, dsar_id FROM dsir"),
     "scan_filtered": _sql("SELECT dsar_id, model_type FROM dsar WHERE created_by = 'PostSynchronizationManager'"),
     "scan_first_match": _sql("SELECT dsir_id, pos, parent_id FROM dsir_parent QUALIFY row_number() OVER (PARTITION BY dsir_id ORDER BY pos) = 1"),

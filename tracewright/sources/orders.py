@@ -57,18 +57,32 @@ def duckdb_tables() -> str:
     return f"{COMMON},\n{parts}".replace("{orders}", "orders").replace("LEFT ANTI JOIN", "ANTI JOIN")
 
 
-_KEPT: dict[tuple[str, str], Tables] = {}
+_KEPT: dict[tuple, Tables] = {}
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the tables depend on: the session and the files of orders with their length and time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/orders.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    return spark.sparkContext.applicationId, sf_dir, *files
+
+
+def build(spark: SparkSession, sf_dir: str) -> Tables:
+    """The seven tables over sf_dir/orders.parquet."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    made: dict[str, DataFrame] = {}
+    for name, sql in PARTS.items():
+        with_dsir = {"dsir": made["dsir"]} if name == "dsar_dsir" else {}
+        query = f"WITH {COMMON} {sql}".replace("FROM dsir WHERE", "FROM {dsir} WHERE") if with_dsir else f"WITH {COMMON} {sql}"
+        made[name] = cut(spark.sql(query, orders=orders, **with_dsir).select(*TABLES[name].names))
+    return made
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The seven tables over sf_dir/orders.parquet, made once for a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The seven tables, made once for a session and a state of the files."""
+    key = state(spark, sf_dir)
     if key not in _KEPT:
-        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-        made: dict[str, DataFrame] = {}
-        for name, sql in PARTS.items():
-            with_dsir = {"dsir": made["dsir"]} if name == "dsar_dsir" else {}
-            query = f"WITH {COMMON} {sql}".replace("FROM dsir WHERE", "FROM {dsir} WHERE") if with_dsir else f"WITH {COMMON} {sql}"
-            made[name] = cut(spark.sql(query, orders=orders, **with_dsir).select(*TABLES[name].names))
-        _KEPT[key] = made
+        _KEPT.clear()
+        _KEPT[key] = build(spark, sf_dir)
     return _KEPT[key]
