@@ -8,11 +8,13 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis.strategies import characters, from_regex
 
 from tests.llm.rows import documents, empty, listed, prose
 from tests.oracle import connect, duckdb_rows, spark_rows
 from tracewright.llm import decontaminate, licenses, lm
-from tracewright.llm.license_rules import ANCHORS, rules
+from tracewright.llm.license_rules import ANCHORS, CC_BY, rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -112,7 +114,7 @@ NOTICES = [
 @pytest.mark.parametrize("extra", [False, True])
 def test_license_rows(spark, extra):
     docs = documents(spark, extra)
-    made = [(200 + k, t) for k, t in enumerate(NOTICES)] + [(300 + k, "some text before. " + t + " And after it, " + NOTICES[-k]) for k, t in enumerate(NOTICES)] + [(400, ("word " * 50 + NOTICES[0] + "\n") * 300)]
+    made = [(200 + k, t) for k, t in enumerate(NOTICES)] + [(300 + k, "some text before. " + t + " And after it, " + NOTICES[-k]) for k, t in enumerate(NOTICES)] + [(400, ("word " * 50 + NOTICES[0] + "\n") * 300), (401, "CC BY, " * 1100 + NOTICES[1])]
     more = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in made], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.unionByName(more, allowMissingColumns=True)
     columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -129,8 +131,27 @@ def test_license_table(spark, sf):
 def test_rules_have_anchors():
     assert len(rules()) > 300
     for sample in NOTICES[:4]:
-        assert any(a in sample.lower() for a in ANCHORS)
-    assert licenses.scan
+        assert any(a in sample.lower() for a in ANCHORS) or re.search(CC_BY, sample.lower())
+
+
+@pytest.mark.parametrize("rule", rules(), ids=lambda r: str(r["priority"]))
+def test_rules_match_with_their_keyword(rule):
+    """Texts made from a rule's pattern hold its keyword and pass the gate."""
+    bare = rule["pattern"].removeprefix("(?<= )").removesuffix("(?= )")
+
+    @settings(max_examples=8, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(from_regex(re.compile(bare, re.ASCII), fullmatch=True, alphabet=characters(min_codepoint=32, max_codepoint=126)))
+    def holds(text):
+        norm = f" {text} "
+        assert re.search(rule["pattern"], norm) and re.compile(rule["pattern"]).groups == 0
+        assert rule["keyword"] in norm
+        assert any(a in text for a in ANCHORS) or re.search(CC_BY, text)
+
+    holds()
+
+
+def test_rules_are_separate():
+    assert len({r["pattern"] for r in rules()}) == len(rules())
 
 
 def test_no_texts_to_scan(spark):
