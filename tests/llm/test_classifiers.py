@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 from zlib import crc32
@@ -65,6 +66,51 @@ def test_sparse_dot_product():
     assert weights[found].sum() == sum(found.tolist())
 
 
+def plain_quality(docs, truth, bits=18, epochs=4, alpha=0.3, beta=1.0, l1=0.002, l2=0.05):
+    """Scores by the update rule of follow-the-regularised-leader, weight by weight."""
+    mult, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def features(text):
+        one = [crc32(t) for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode())]
+        found = Counter(((t * mult) & mask) >> (64 - bits) for t in one)
+        for a, b in zip(one, one[1:]):
+            found[1 if a == b else ((((a * 0xC2B2AE3D27D4EB4F + b) & mask) * mult) & mask) >> (64 - bits)] += 1
+        total = max(1, sum(found.values()))
+        return {k: c / total**0.5 for k, c in found.items()}
+
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    rows = [(features(text) | {"bias": 1.0}, truth[i]) for i, text in sorted(docs.items(), key=lambda d: (crc32(str(d[0]).encode()), d[0])) if i in truth and crc32(str(i).encode()) % 3 != 1]
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                more = n[k] + g * g
+                z[k] += g - (more**0.5 - n[k] ** 0.5) / alpha * w[k]
+                n[k] = more
+    return {i: 1 / (1 + math.exp(-weight("bias") - sum(weight(k) * v for k, v in features(text).items()))) for i, text in docs.items()}
+
+
+def test_quality_is_the_plain_rule(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    expected = plain_quality(docs, truth)
+    found = {r["doc_id"]: r["score"] for r in quality.op1_quality_classifier(spark, sf).collect()}
+    assert found.keys() == expected.keys() and max(abs(found[k] - expected[k]) for k in found) < 1e-5
+
+
+def test_counted_features_are_bounded():
+    packed = quality.counted(b"a b c " * 50_000, 6)
+    at, count = np.frombuffer(packed, np.int32).reshape(2, -1)
+    assert len(at) <= 1 << 6 and count.sum() == 299_999
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
