@@ -78,6 +78,38 @@ def test_rows_that_operators_stumble_over(spark, sf, pipeline, tmp_path):
     assert rows == []
 
 
+def test_stages_on_awkward_rows(spark, pipeline, tmp_path):
+    """Each stage by itself on null, empty, very long, repeated and clashing rows."""
+    from tracewright.llm import rules
+
+    docs = documents(spark, extra=True).cache()
+    rows = pairs(docs)
+    leak = " ".join(max((t or "" for _, t in rows), key=len).split()[700:740])
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {name: stage(spark, docs, str(tmp_path)).cache() for name, stage in pipeline.STAGES}
+    for name in list(found)[:4]:
+        assert found[name].columns == docs.columns
+
+    verdict = rules.judge(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("kept")
+    assert sorted((r["doc_id"] for r in found["quality_rules"].collect()), key=repr) == sorted((r["doc_id"] for r in verdict.collect()), key=repr)
+
+    assert found["simhash_near_dedup"].count() == len(plain_kept([(k, t) for k, (_, t) in enumerate(rows)]))
+
+    bad = {k for k, *_ in plain_leaks([(k, t) for k, (_, t) in enumerate(rows)], [(1, leak), (2, None)])}
+    assert bad and pairs(found["decontamination"]) == [x for k, x in enumerate(rows) if k not in bad]
+
+    times = Counter(pairs(found["mixing"]))
+    own = Counter(rows)
+    assert all(x in own and n <= 3 * own[x] and (x[1] or "").split() for x, n in times.items())
+
+    assert pairs(found["sharding"]) == rows
+    slots = defaultdict(list)
+    for r in found["sharding"].collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_library_stands_without_the_corpus_operators(tmp_path):
     import os
     import shutil

@@ -93,14 +93,15 @@ def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     item), n_found (of them in the document), containment.
 
     Null texts, and items without a word, hold and are nothing; of rows with equal ids the one that
-    holds most of the item counts; a null doc_id is reported as null. Extra columns are not read.
-    Empty tables give no rows."""
+    holds most of the item counts, and ties are one row; a null doc_id is reported as null. Texts are
+    read whole at any length. Extra columns are not read. Empty tables give no rows."""
     found = contained(docs, items, **how).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **how) -> DataFrame:
-    """The rows of docs that hold no test item, with the columns of docs."""
+    """The rows of docs that hold no test item, with the columns of docs. Null and empty texts stay;
+    rows equal in id and text go or stay together, and null ids are judged by their texts."""
     bad = cut(contained(docs, items, id_col=id_col, text_col=text_col, broadcast_bytes=broadcast_bytes, **how).select("k1", "k2").distinct())
     k1, k2 = free_name(docs, "k1", "k2")
     key = row_key(F.col(id_col), F.col(text_col))

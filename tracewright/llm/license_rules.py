@@ -3,8 +3,8 @@
 A line of RULES is a label, a confidence, a keyword and a regular expression, two spaces between. A
 pattern matches whole words of a text in lower case with single spaces around them, so punctuation
 and line breaks never stand between; it holds no capturing group. It runs only on texts that hold
-its keyword, which every match contains. Of two detections of
-the same words the rule further up wins.
+its keyword, which every match contains. Of two detections of the same words the rule further up
+wins.
 """
 
 from __future__ import annotations

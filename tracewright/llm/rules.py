@@ -229,8 +229,10 @@ def judge(docs: DataFrame, labels: DataFrame, at_least: float = 0.5, id_col: str
     """One row per row of docs: doc_id, the base counts, base_failed, kept, score.
 
     A null or empty text has no words and fails the base rule; rows with equal ids each have their
-    own row; null ids stay null; with no labels the base rule decides alone. Extra columns are not
-    read. An empty table gives no rows."""
+    own row; null ids stay null; with no labels the base rule decides alone. Texts are counted whole
+    at any length, one at a time. Of several texts of one sampled id the least trains the trees, and
+    of equal gains the first feature's lowest cut is taken. Extra columns are not read. An empty
+    table gives no rows."""
     rule = judged(train(docs, labels, id_col, text_col, max_rows), at_least)
     out = docs.select(F.col(id_col).alias("doc_id"), rule(F.col(text_col)).alias("s"))
     return out.select("doc_id", *[f"s.{c}" for c in (*COUNTS[:5], "base_failed", "kept", "score")])

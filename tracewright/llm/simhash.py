@@ -308,7 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts and texts without a word have fingerprint zero and are one group with each other;
     rows with equal ids each have their own row; a null id is kept, and is the component's id only
-    if the component has no other. An empty table gives no rows. Extra columns are not read."""
+    if the component has no other. A bit set in exactly half the shingles is 0. Texts are read whole
+    at any length, one at a time. An empty table gives no rows. Extra columns are not read."""
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(shingle)(F.col(text_col))["fp"].alias("fp")))
     placed = groups(prints, "doc_id", max_bits)
     return prints.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

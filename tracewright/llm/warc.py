@@ -268,7 +268,8 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) ->
     A null html is the empty payload; payloads of fewer than min_bytes bytes never revisit; a null
     url has the key of the empty URL; a null page_id comes last among equal payloads. Of rows with
     equal payload and page_id the one with the least url is the response; rows equal in everything
-    are responses alike, each with a record. Extra columns are not read. An empty table gives no
+    are responses alike, each with a record. A payload is written and read whole at any length.
+    Extra columns are not read. An empty table gives no
     rows."""
     folder = folder or fresh_dir(pages.sparkSession, "warc")
     captures = write(pages, folder, min_bytes)
