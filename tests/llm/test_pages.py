@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.rows import listed
+from tests.oracle import connect, duckdb_rows, spark_rows
 from tracewright.llm import html, warc
 
 PAGE = "page_id long, url string, html string"
@@ -213,3 +214,19 @@ def test_a_damaged_record_is_noticed():
 def test_surt(spark):
     df = spark.createDataFrame([("https://WWW.Example.com:80/A/b?q=1#x",), ("http://u@h.org",), (None,), ("junk",)], "url string")
     assert [r[0] for r in df.select(warc.surt("url")).collect()] == ["com,example,www)/A/b?q=1", "org,h)", ")", ")junk"]
+
+
+def test_warc_oracle(spark, sf):
+    assert spark_rows(warc.op10_warc(spark, sf)) == duckdb_rows(connect(sf), warc.ORACLE)
+
+
+def test_warc_oracle_on_awkward_pages(spark, tmp_path):
+    rows = [(1, "u", None), (2, "u", ""), (None, "u", "é漢"), (None, "t", "é漢"), (4, None, "x"), (4, "a", "x"), (4, "a", "x"), (9, "b", "x"), (9, "c", "z" * 70_000)]
+    pages = spark.createDataFrame(rows, PAGE)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    (tmp_path / "pages.parquet" / "_SUCCESS").unlink()
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert spark_rows(warc.archive(pages)) == duckdb_rows(con, warc.ORACLE)

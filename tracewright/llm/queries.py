@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, warc
 from .decontaminate import op6_decontamination
 from .html import op4_html_extraction
 from .licenses import op8_license_scan
@@ -29,4 +29,4 @@ QUERIES = {
         op10_warc,
     )
 }
-ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}

@@ -278,3 +278,18 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) ->
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
+
+
+#: A digest's 40 hex digits are eight groups of 20 bits, each four base32 digits.
+ORACLE = """
+WITH page AS (SELECT page_id::BIGINT AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS sha FROM page),
+placed AS (SELECT *, first_value(page_id) OVER w AS first_id, first_value(url) OVER w AS first_url FROM hashed
+  WINDOW w AS (PARTITION BY sha ORDER BY page_id NULLS LAST, url ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+told AS (SELECT *, page_id IS DISTINCT FROM first_id OR url <> first_url AS revisit FROM placed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(sha, 1 + 5 * (i // 4)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first_id END AS refers_to
+FROM told
+"""
