@@ -6,8 +6,10 @@ equal (the other sum is 0 or 1) and become one. If then, after scaling, every va
 a variable is an arc of capacity one from the equation it leaves to the one it enters, and variables
 without one or the other come from a source or go to a drain. An incidence matrix is totally
 unimodular, so the heaviest flow is an exact optimum. It is found by longest augmenting paths, after
-nodes with one way in and out are contracted and parallel arcs beyond what their ends can carry
-are dropped. A network with a directed cycle is left to others: there a flow could feed itself.
+nodes that carry one unit are contracted and parallel arcs beyond what their ends can carry are
+dropped: what is left of a flow graph goes by its models and windows, not by its runs. Equal totals
+are then told apart on the whole network. A network with a directed cycle is left to others: there
+a flow could feed itself.
 """
 
 from __future__ import annotations
@@ -98,25 +100,36 @@ def _has_cycle(ends: list[tuple[int, int]], n: int) -> bool:
     return seen < n
 
 
-def reduced(tail, head, weight, members, n):
-    """The same network with fewer arcs."""
-    into, out = np.bincount(head, minlength=n), np.bincount(tail, minlength=n)
-    single = (into == 1) & (out == 1)
-    single[:3] = False
-    by_head = {int(h): k for k, h in enumerate(head) if single[h]}
-    skip = np.zeros(len(tail), bool)
-    tail, members = tail.copy(), list(members)
-    weight = weight.copy()
-    for k in np.flatnonzero(single[tail]):
-        before = by_head[int(tail[k])]
-        if single[tail[before]] or skip[before] or skip[k] or before == k:
-            continue
-        weight[k] += weight[before]
-        members[k] = members[before] + members[k]
-        tail[k] = tail[before]
-        skip[before] = True
-    keep = np.flatnonzero(~skip)
-    tail, head, weight, members = tail[keep], head[keep], weight[keep], [members[k] for k in keep]
+def _joined(tail, head, weight, members, n):
+    """One pass of contraction. A node with one way out goes where that way leads to a node with one
+    way out too: that node carries one unit at most, so the ways in exclude each other there as well.
+    The same holds backwards, and for any node with one way in and one way out."""
+    for back in (False, True):
+        into, out = np.bincount(head, minlength=n), np.bincount(tail, minlength=n)
+        a, b, one, ways = (head, tail, into, out) if back else (tail, head, out, into)
+        far = b.copy()  # of the node's one arc: the end away from it
+        goes = (one[a] == 1) & (a > 2) & ((ways[a] == 1) | ((far > 2) & (one[far] == 1)))
+        node = np.zeros(n, bool)
+        node[a[goes]] = True
+        goes &= ~node[far]  # the last of a chain goes first
+        arc = np.full(n, -1)
+        arc[a[goes]] = np.flatnonzero(goes)
+        moved = np.flatnonzero(arc[b] >= 0)
+        by = arc[b[moved]]
+        weight = weight.copy()
+        weight[moved] += weight[by]
+        for k, o in zip(moved.tolist(), by.tolist(), strict=True):
+            members[k] = members[k] + members[o]
+        b = b.copy()
+        b[moved] = far[by]
+        keep = np.flatnonzero(~goes)
+        tail, head = (b[keep], a[keep]) if back else (a[keep], b[keep])
+        weight, members = weight[keep], [members[k] for k in keep.tolist()]
+    return tail, head, weight, members
+
+
+def _pruned(tail, head, weight, members, n):
+    """Of parallel arcs as many of the heaviest as their ends can carry."""
     into, out = np.bincount(head, minlength=n), np.bincount(tail, minlength=n)
     carry = np.minimum(into, out)
     carry[:3] = len(tail)
@@ -124,26 +137,20 @@ def reduced(tail, head, weight, members, n):
     first = np.concatenate(([True], (tail[order][1:] != tail[order][:-1]) | (head[order][1:] != head[order][:-1])))
     place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     keep = np.sort(order[place < np.minimum(carry[tail[order]], carry[head[order]])])
-    return tail[keep], head[keep], weight[keep], [members[k] for k in keep]
+    return tail[keep], head[keep], weight[keep], [members[k] for k in keep.tolist()]
 
 
-def heaviest(weights: list[float], rows: Rows, sink: dict[int, int], units: int) -> tuple[float, list[int]] | bool | None:
-    """The best choice with `units` (0 or 1) into the sink; False if there is none, None if the
-    program is no network."""
-    made = arcs(weights, rows, sink)
-    if made is None:
-        return None
-    tail, head, weight, members, n = made
-    if units == 0:
-        keep = np.flatnonzero(head != SINK)
-        tail, head, weight, members = tail[keep], head[keep], weight[keep], [members[k] for k in keep]
-    if not len(tail):
-        return False if units else (0.0, [])
-    tail, head, weight, members = reduced(tail, head, weight, members, n)
-    bonus = float(2 ** int(np.ceil(np.log2(np.abs(weight).sum() + 1))) * 2)  # a power of two keeps sums exact
-    if units:
-        tail, head, weight = np.append(tail, SINK), np.append(head, DRAIN), np.append(weight, bonus)
-        members = [*members, []]
+def reduced(tail, head, weight, members, n):
+    """The same network with fewer arcs."""
+    made, size = (tail, head, weight, list(members)), -1
+    while len(made[0]) not in (0, size):
+        size = len(made[0])
+        made = _pruned(*_joined(*made, n), n)
+    return made
+
+
+def _augmented(tail, head, weight, n):
+    """Which arcs the heaviest flow takes: longest augmenting paths while they gain."""
     used = np.zeros(len(tail), bool)
     while True:
         a, b, w = np.where(used, head, tail), np.where(used, tail, head), np.where(used, -weight, weight)
@@ -161,13 +168,97 @@ def heaviest(weights: list[float], rows: Rows, sink: dict[int, int], units: int)
             by[b[arc]] = arc
             best[better] = top[better]
         if not best[DRAIN] > 0:
-            break
+            return used
         at = DRAIN
         while at != SOURCE:
             k = by[at]
             used[k] = ~used[k]
             at = a[k]
-    if units and not used[-1]:
+
+
+def _smallest(tail, head, weight, members, n, used):
+    """Of all flows as heavy as this one, that which takes the smallest variables. Two such flows
+    differ by cycles of no gain, which lie on arcs that the potentials make tight."""
+    tail, head = np.where(tail == DRAIN, SOURCE, tail), np.where(head == DRAIN, SOURCE, head)  # flow goes round
+    a, b, w = np.where(used, head, tail), np.where(used, tail, head), np.where(used, -weight, weight)
+    high = np.zeros(n)
+    for _ in range(n + 1):
+        top = high.copy()
+        np.maximum.at(top, b, high[a] + w)
+        if (top == high).all():
+            break
+        high = top
+    tied = np.flatnonzero(high[a] + w == high[b])
+    while True:
+        into, out = np.bincount(b[tied], minlength=n), np.bincount(a[tied], minlength=n)
+        left = tied[(into[a[tied]] > 0) & (out[b[tied]] > 0)]
+        if len(left) == len(tied):
+            break
+        tied = left
+    used, free = used.copy(), set(tied.tolist())
+    at: dict[int, list[int]] = {}
+    for k in free:
+        for end in {int(tail[k]), int(head[k])}:
+            at.setdefault(end, []).append(k)
+    for k in sorted(free, key=lambda k: members[k][0]):
+        free.discard(k)
+        if used[k]:
+            continue
+        goal, came, todo = int(tail[k]), {int(head[k]): -1}, [int(head[k])]
+        while todo and goal not in came:
+            x = todo.pop()
+            for o in at.get(x, ()):
+                y = int(tail[o] if used[o] else head[o])
+                if o in free and x == (head[o] if used[o] else tail[o]) and y not in came:
+                    came[y] = o
+                    todo.append(y)
+        if goal not in came:
+            continue
+        used[k], x = True, goal
+        while came[x] >= 0:
+            o = came[x]
+            x = int(head[o] if used[o] else tail[o])
+            used[o] = ~used[o]
+    return used
+
+
+def _holds(chosen: list[int], rows: Rows, sink: dict[int, int], units: int) -> bool:
+    found = set(chosen)
+    return sum(c for v, c in sink.items() if v in found) == (units if sink else 0) and all(sum(c for v, c in row.items() if v in found) == 0 for row in rows)
+
+
+def heaviest(weights: list[float], rows: Rows, sink: dict[int, int], units: int) -> tuple[float, list[int]] | bool | None:
+    """The best choice with `units` (0 or 1) into the sink, of equal ones the smallest list; False
+    if there is none, None if the program is no network."""
+    made = arcs(weights, rows, sink)
+    if made is None:
+        return None
+    tail, head, weight, members, n = made
+    if units == 0:
+        keep = np.flatnonzero(head != SINK)
+        tail, head, weight, members = tail[keep], head[keep], weight[keep], [members[k] for k in keep.tolist()]
+    if not len(tail):
+        return False if units else (0.0, [])
+    alone = (tail == SOURCE) & (head == DRAIN)  # bound by nothing
+    taken = {members[k][0] for k in np.flatnonzero(alone & (weight > 0)).tolist()}
+    bound = np.flatnonzero(~alone)
+    if len(bound):
+        t, h, w, m = reduced(tail[bound], head[bound], weight[bound], [members[k] for k in bound.tolist()], n)
+        if units:
+            bonus = float(2 ** int(np.ceil(np.log2(np.abs(weight).sum() + 1))) * 2)  # a power of two keeps sums exact
+            t, h, w, m = np.append(t, SINK), np.append(h, DRAIN), np.append(w, bonus), [*m, []]
+        nodes, ends = np.unique(np.concatenate(([SOURCE, DRAIN, SINK], t, h)), return_inverse=True)
+        flow = _augmented(ends[3 : 3 + len(t)], ends[3 + len(t) :], w, len(nodes))
+        if units and not flow[-1]:
+            return False
+        taken.update(v for k in np.flatnonzero(flow).tolist() for v in m[k])
+    elif units:
         return False
-    chosen = sorted(v for k in np.flatnonzero(used) for v in members[k])
+    used = np.fromiter((m[0] in taken for m in members), bool, len(members))
+    used = _smallest(tail, head, weight, members, n, used)
+    chosen = sorted(v for k in np.flatnonzero(used).tolist() for v in members[k])
+    end = len(chosen)
+    while end and weights[chosen[end - 1]] == 0:
+        end -= 1
+    chosen = next(chosen[:k] for k in range(end, len(chosen) + 1) if k == len(chosen) or _holds(chosen[:k], rows, sink, units))
     return float(sum(weights[v] for v in chosen)), chosen

@@ -2,12 +2,11 @@
 
 Variables that share an equation with right side 0 form a component; nothing at all is feasible in
 a component, so each is solved on its own for 0 and for 1 unit into the sink, and the one unit goes
-to the component where it gains most. Components are grouped on the executors. Small ones are
-solved by depth-first branch and bound with propagation of the equations; among equal totals the
-lexicographically smallest list of chosen variables wins. Larger ones are solved as network flows
-where they are such (equal totals are then broken by the search's order, which is fixed), else by
-branch and bound; a component with more than ``max_vars`` variables that is no network is refused
-rather than answered without proof.
+to the component where it gains most. Components are grouped on the executors. Those that are
+network flows are solved as such at any size, others by depth-first branch and bound with
+propagation of the equations; among equal totals the lexicographically smallest list of chosen
+variables wins in both. A component with more than ``max_vars`` variables that is no network is
+refused rather than answered without proof.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from . import program
 from .components import components
 from .network import heaviest
 
-SMALL = 24  # variables
-
 
 def _search(weights: list[float], rows: list[tuple[dict[int, int], int]], nodes_left: int = 5_000_000) -> tuple[float, list[int]] | None:
     """The best 0/1 choice under equations (coefficients by variable, right side), or None."""
@@ -114,12 +111,16 @@ def solve_component(frame: pd.DataFrame, max_vars: int) -> pd.DataFrame:
     weights = frame[frame.kind == "w"].sort_values("var_ord")
     order = weights.var_ord.tolist()
     at = {v: k for k, v in enumerate(order)}
-    rows = [({at[v]: int(c) for v, c in zip(g.var_ord, g.coef, strict=True)}, 0) for _, g in frame[frame.kind == "c"].groupby("row", sort=True)]
+    equations: dict[str, dict[int, int]] = {}
+    held = frame[frame.kind == "c"].sort_values("row")
+    for row, v, c in zip(held["row"].tolist(), held.var_ord.tolist(), held.coef.tolist(), strict=True):
+        equations.setdefault(row, {})[at[v]] = int(c)
+    rows = [(coefs, 0) for coefs in equations.values()]
     ends = frame[frame.kind == "s"]
     sink = {at[v]: int(c) for v, c in zip(ends.var_ord, ends.coef, strict=True)}
     out, values = [], weights.weight.tolist()
     for units in (0, 1) if sink else (0,):
-        found = heaviest(values, [coefs for coefs, _ in rows], sink, units) if len(order) > SMALL and min(values) >= 0 else None
+        found = heaviest(values, [coefs for coefs, _ in rows], sink, units) if min(values) >= 0 else None
         if found is None:
             if len(order) > max_vars:
                 raise ValueError(f"a component of {len(order)} variables is no network and over the limit of {max_vars}")
