@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -88,6 +89,25 @@ def test_forward_ends_on_edges_with_several_sources(spark):
     assert rows(traverse.timeline(small, "absent"), "node_id", "direction") == [("absent", "forward")]
 
 
+def test_paths_are_counted_as_a_walk_meets_them(spark):
+    layers = [["M"], ["C1", "C2"], ["J1", "J2", "J3"], ["S"], ["N"], ["D"], ["K"], ["T"], ["O"]]
+    kinds = ["model", "cluster_aggr", "job", "am"] * 2 + ["model"]
+    edges = [("AND" if k % 2 else "OR", layers[k + 1], x, kinds[k], [1.0] * len(layers[k + 1])) for k in range(len(layers) - 1) for x in layers[k]]
+    small = spark.createDataFrame(mini.incidences(edges + [("OR", ["J1", "J1"], "C2", "cluster_aggr", [1.0, 1.0])]), mini.SCHEMA)
+    sources = {}
+    for r in small.collect():
+        sources.setdefault((r["dst"], r["dst_type"]), []).append((r["src"], r["src_type"]))
+
+    def walk(node):
+        return [node, *(x for s in sources.get(node, []) for x in walk(s))]
+
+    met = Counter(walk(("M", "model")))
+    assert met["O", "model"] == 8
+    assert rows(traverse.backward_paths(small, "M", "model"), "node_id", "node_type", "n_paths") == sorted((*k, n) for k, n in met.items())
+    assert len(rows(traverse.model_timeline(small, "M", as_shipped=True), "node_id")) == sum(n for (_, kind), n in met.items() if kind == "model")
+    assert rows(traverse.backward_paths(small, "absent", "model"), "node_id", "n_paths") == [("absent", 1)]
+
+
 def test_dangling_references_are_reported(spark):
     t = tables(spark, [record("a", JG, ["gone"], dsar="lost")], [group("g", PSM, ["void"])], [{"_id": "r", "input_dsars": ["g", "nil"], "output_dsir": "zip", "model_type": "m", "relevance": 0.5}])
     assert rows(documents.validate(t), "table_name", "missing_id") == [("dsar_dsir", "void"), ("dsir", "lost"), ("dsir_parent", "gone"), ("job", "zip"), ("job_dsar", "nil")]

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import program
 from .components import components
 from .network import heaviest
@@ -112,7 +113,7 @@ def solve_component(frame: pd.DataFrame, max_vars: int) -> pd.DataFrame:
     order = weights.var_ord.tolist()
     at = {v: k for k, v in enumerate(order)}
     equations: dict[str, dict[int, int]] = {}
-    held = frame[frame.kind == "c"].sort_values("row")
+    held = frame[frame.kind == "c"]
     for row, v, c in zip(held["row"].tolist(), held.var_ord.tolist(), held.coef.tolist(), strict=True):
         equations.setdefault(row, {})[at[v]] = int(c)
     rows = [(coefs, 0) for coefs in equations.values()]
@@ -140,8 +141,12 @@ def solve(rows: DataFrame, position: str = "exact", max_vars: int = 4000) -> Dat
 
 
 def solve_program(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars: int = 4000) -> DataFrame:
-    """weights(var_ord, weight), equations(node_id, node_type, var_ord, coef), ends(var_ord, coef)."""
-    named = equations.select(F.concat_ws("|", "node_type", "node_id").alias("row"), "var_ord", "coef")
+    """weights(var_ord, weight), equations(node_id, node_type, var_ord, coef), ends(var_ord, coef).
+    A variable in no equation is chosen if it gains; only the others form components."""
+    named = cut(equations.select(F.concat_ws("|", "node_type", "node_id").alias("row"), "var_ord", "coef"))
+    bound = named.select("var_ord").unionByName(ends.select("var_ord")).distinct()
+    alone = weights.join(bound, "var_ord", "left_anti").where("weight > 0")
+    weights = weights.join(bound, "var_ord", "left_semi")
     hub = named.groupBy("row").agg(F.min("var_ord").alias("b"))
     links = named.join(hub, "row").select(F.col("var_ord").alias("a"), "b")
     roots = components(weights.select(F.col("var_ord").alias("node")), links).withColumnRenamed("node", "var_ord")
@@ -152,8 +157,6 @@ def solve_program(weights: DataFrame, equations: DataFrame, ends: DataFrame, max
         .unionByName(ends.select(F.lit("s").alias("kind"), nothing.cast("string").alias("row"), "var_ord", "coef", nothing.cast("double").alias("weight")))
     )
     solved = parts.join(roots, "var_ord").groupBy("root").applyInPandas(lambda f: solve_component(f, max_vars), "root long, units int, total double, chosen array<long>")
-    from ..functions.lineage import cut
-
     solved = cut(solved)
     none, one = solved.where("units = 0"), solved.where("units = 1").select("root", F.col("total").alias("with_one"), F.col("chosen").alias("chosen_one"))
     gain = one.join(none, "root", "left").select("root", (F.col("with_one") - F.coalesce("total", F.lit(0.0))).alias("gain"), "chosen_one")
@@ -162,5 +165,5 @@ def solve_program(weights: DataFrame, equations: DataFrame, ends: DataFrame, max
         raise ValueError("no feasible choice brings one unit into the sinks")
     rest = none.join(winner.select("root"), "root", "left_anti").select("total", "chosen")
     picked = rest.unionByName(one.join(winner.select("root"), "root").select(F.col("with_one").alias("total"), F.col("chosen_one").alias("chosen")))
-    total = picked.agg(F.sum("total").alias("total"))
-    return picked.select(F.explode("chosen").alias("var_ord")).crossJoin(total)  # one row
+    total = picked.select("total").unionByName(alone.select(F.col("weight").alias("total"))).agg(F.sum("total").alias("total"))
+    return picked.select(F.explode("chosen").alias("var_ord")).unionByName(alone.select("var_ord")).crossJoin(total)  # one row

@@ -51,6 +51,29 @@ def backward(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10
     return _closure(_start(rows, node_id, node_type), step, max_rounds)
 
 
+def backward_paths(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000, burst: int = 4) -> DataFrame:
+    """(node_id, node_type, n_paths): how many paths lead back to each node, the start with its one
+    among them: how often a walk meets it that keeps no note of where it was. Paths are counted, not
+    walked, so the work goes by the steps of the graph; more than 38 digits raise, as cycles do."""
+    up = rows.select(F.col("dst").alias("node_id"), F.col("dst_type").alias("node_type"), "src", "src_type")
+    last = cut(_start(rows, node_id, node_type).withColumn("n_paths", F.lit(1).cast("decimal(38,0)")))
+    found = last
+    for done in range(0, max_rounds, burst):
+        at, new = last, None
+        for depth in range(done + 1, done + burst + 1):
+            at = up.join(at, NODE).groupBy(F.col("src").alias("node_id"), F.col("src_type").alias("node_type")).agg(F.sum("n_paths").alias("n_paths"))
+            met = at.withColumn("depth", F.lit(depth))
+            new = met if new is None else new.unionByName(met)
+        new = cut(new)
+        last = new.where(F.col("depth") == done + burst).drop("depth")
+        found = found.unionByName(new.drop("depth"))
+        if last.isEmpty():
+            return found.groupBy(*NODE).agg(F.sum("n_paths").alias("n_paths"))
+        if done // burst % 16 == 15:
+            found = cut(found.groupBy(*NODE).agg(F.sum("n_paths").alias("n_paths")))
+    raise RuntimeError(f"no end after {max_rounds} rounds")
+
+
 def forward(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000) -> DataFrame:
     """The node and all nodes it led to: source to its edge, and the edge to its other sources and
     its destination."""
@@ -72,7 +95,14 @@ def timeline(rows: DataFrame, node_id: str, node_type: str = "model") -> DataFra
 
 
 def model_timeline(rows: DataFrame, node_id: str, node_type: str = "model", as_shipped: bool = False) -> DataFrame:
-    """(node_id): the model nodes of a timeline. as_shipped gives the asked id once for each of
-    them, as the service it stands for does."""
-    found = timeline(rows, node_id, node_type).where("node_type = 'model'")
-    return found.select(F.lit(node_id).alias("node_id") if as_shipped else F.col("node_id"))
+    """(node_id): the model nodes of a timeline. as_shipped gives the asked id instead, once for
+    each path back to a model and once for each model ahead, as the service it stands for does; its
+    rows grow with the paths, which backward_paths counts."""
+    if not as_shipped:
+        return timeline(rows, node_id, node_type).where("node_type = 'model'").select("node_id")
+    start = (F.col("node_id") == node_id) & (F.col("node_type") == node_type)
+    behind = backward_paths(rows, node_id, node_type).where(~start & (F.col("node_type") == "model"))
+    # rows of a thousand paths first: one array of them all may be too long
+    dealt = behind.select(F.col("n_paths").cast("long").alias("n")).selectExpr("n", "explode(sequence(0L, (n - 1) div 1000)) AS part").selectExpr("explode(sequence(1L, least(1000L, n - part * 1000))) AS k")
+    ahead = forward(rows, node_id, node_type).where("node_type = 'model'")
+    return dealt.select(F.lit(node_id).alias("node_id")).unionByName(ahead.select(F.lit(node_id).alias("node_id")))

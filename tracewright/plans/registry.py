@@ -8,15 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_dir
+from ..functions.lineage import cut, shared_dir
 from ..operators import drawing, model_graph, program, solver, traverse
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
 from ..sources.orders import build, duckdb_tables, state, tables
 from .api import Engine
 
-BACK, AHEAD, MIDDLE = "M5-2001", "M1-1995", "M3-1998"
+BACK, AHEAD, MIDDLE, EARLY = "M5-2001", "M1-1995", "M3-1998", "M3-1996"
 _FLOWS: dict = {}
+_SOLVED: dict = {}
 
 
 def flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
@@ -28,6 +29,25 @@ def flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
     return _FLOWS[key]
 
 
+def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The program's solution, found once for a session and a state of the folder's files."""
+    key = state(spark, sf_dir)
+    if key not in _SOLVED:
+        _SOLVED.clear()
+        _SOLVED[key] = cut(solver.solve(flow(spark, sf_dir).rows))
+    return _SOLVED[key]
+
+
+def _equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every equation of the program comes to under the solution. SQL knows no solution, but
+    what each equation must come to."""
+    rows = flow(spark, sf_dir).rows
+    chosen = solved(spark, sf_dir).select("var_ord", F.lit(1).alias("x"))
+    one = rows.sparkSession.range(1).select(F.lit("sink").alias("node_id"), F.lit("").alias("node_type"))
+    terms = program.constraints(rows).unionByName(program.sink(rows).crossJoin(one))  # one row
+    return terms.join(chosen, "var_ord", "left").groupBy("node_id", "node_type").agg(F.sum(F.when(F.col("x") == 1, F.col("coef")).otherwise(0)).alias("value"))
+
+
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables and the flow graph built anew: how many rows each has."""
     made = build(spark, sf_dir)
@@ -110,13 +130,9 @@ def _path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_graph.optimal_path(tables(spark, sf_dir), program.variables(rows), rows.where("var_ord % 3 = 0").select("var_ord"))
 
 
-def _optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solver.solve(flow(spark, sf_dir).rows)
-
-
 def _optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flow(spark, sf_dir).rows
-    return model_graph.optimal_path(tables(spark, sf_dir), program.variables(rows), solver.solve(rows))
+    return model_graph.optimal_path(tables(spark, sf_dir), program.variables(rows), solved(spark, sf_dir))
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +181,8 @@ QUERIES = {
     "timeline_forward": _on_rows(lambda r: traverse.forward(r, AHEAD, "model").select("node_id", "node_type")),
     "timeline": _on_rows(lambda r: traverse.timeline(r, MIDDLE).select("node_id", "node_type", "direction")),
     "timeline_models": _on_rows(lambda r: traverse.model_timeline(r, MIDDLE)),
-    "timeline_models_as_shipped": _on_rows(lambda r: traverse.model_timeline(r, MIDDLE, as_shipped=True)),
+    "timeline_models_as_shipped": _on_rows(lambda r: traverse.model_timeline(r, EARLY, as_shipped=True)),
+    "timeline_paths": _on_rows(lambda r: traverse.backward_paths(r, BACK, "model").select("node_id", "node_type", F.col("n_paths").cast("string").alias("n_paths"))),
     # selection program
     "lp_vars": _on_rows(lambda r: program.variables(r).select("var_name", "dst", "dst_type", "src", "src_type", "pos", "weight")),
     "lp_bk": _on_rows(program.incoming_sums),
@@ -177,13 +194,14 @@ QUERIES = {
     "lp_objective": _on_rows(program.objective),
     "lp_mini_optimum": lambda spark, sf_dir: solver.solve(mini.rows(spark)),
     "lp_mini_optimum_first": lambda spark, sf_dir: solver.solve(mini.rows(spark), "first"),
-    "lp_optimum": _optimum,
+    "lp_optimum": solved,
+    "lp_optimum_equations": _equations,
     "optimal_path_dsirs": _path,
     "optimal_path": _optimal,
     # drawing
     "viz_edges": _on_rows(drawing.edge_list),
     "viz_optimal_edges": _drawn,
-    "viz_optimum": _on_rows(lambda r: drawing.edge_list(r, solver.solve(r))),
+    "viz_optimum": lambda spark, sf_dir: drawing.edge_list(flow(spark, sf_dir).rows, solved(spark, sf_dir)),
     "viz_scenes": _on_rows(drawing.scenes),
     # service
     "service_answers": _answers,
@@ -262,6 +280,14 @@ def _recursive(query: str, *parts: str) -> str:
     return "WITH RECURSIVE" + _sql(query, _FG, _STEPS, *parts).removeprefix("WITH")
 
 
+def _paths(node_id: str, name: str, levels: int) -> str:
+    """How many paths lead back to each node: level by level, for at most so many steps."""
+    first = f"{name}0 AS (SELECT '{node_id}' AS node_id, 'model' AS node_type, 1::HUGEINT AS n)"
+    more = (f"{name}{k} AS MATERIALIZED (SELECT s.b AS node_id, s.bt AS node_type, sum(p.n)::HUGEINT AS n FROM {name}{k - 1} p JOIN behind s ON s.a = p.node_id AND s.at_ = p.node_type GROUP BY ALL)" for k in range(1, levels + 1))
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(levels + 1))
+    return ", ".join([first, *more, f"{name} AS (SELECT node_id, node_type, sum(n)::HUGEINT AS n FROM ({every}) GROUP BY ALL)"])
+
+
 _TIMELINE = (_reach(MIDDLE, "behind", "rb"), _reach(MIDDLE, "ahead", "rf"))
 _BOTH = f"""(SELECT node_id, node_type, 'backward' AS direction FROM rb WHERE NOT (node_id = '{MIDDLE}' AND node_type = 'model') UNION ALL SELECT node_id, node_type, 'forward' FROM rf WHERE node_type <> '#')"""
 _STAGE = "SELECT dst, dst_type, dst_model, edge_type, src, src_type, src_model, pos, weight FROM "
@@ -337,7 +363,11 @@ ORACLES = {
     "timeline_forward": _recursive("SELECT node_id, node_type FROM r WHERE node_type <> '#'", _reach(AHEAD, "ahead", "r")),
     "timeline": _recursive(f"SELECT node_id, node_type, direction FROM {_BOTH}", *_TIMELINE),
     "timeline_models": _recursive(f"SELECT node_id FROM {_BOTH} WHERE node_type = 'model'", *_TIMELINE),
-    "timeline_models_as_shipped": _recursive(f"SELECT '{MIDDLE}' AS node_id FROM {_BOTH} WHERE node_type = 'model'", *_TIMELINE),
+    "timeline_models_as_shipped": _recursive(
+        f"SELECT '{EARLY}' AS node_id FROM (SELECT unnest(range(n::BIGINT)) FROM q WHERE node_type = 'model' AND node_id <> '{EARLY}' UNION ALL SELECT 1 FROM r WHERE node_type = 'model')",
+        _paths(EARLY, "q", 40), _reach(EARLY, "ahead", "r"),
+    ),
+    "timeline_paths": _recursive("SELECT node_id, node_type, n::VARCHAR AS n_paths FROM q", _paths(BACK, "q", 40)),
     "lp_vars": _sql("SELECT concat('e', var_ord) AS var_name, dst, dst_type, src, src_type, pos, weight FROM inc", _FG),
     "lp_bk": _sql("SELECT node_id, node_type, nb, bt FROM bk", _FG, _LP),
     "lp_fr": _sql("SELECT node_id, node_type, nf, ft FROM fr", _FG, _LP),
@@ -348,6 +378,7 @@ ORACLES = {
     ),
     "lp_sink": _sql("SELECT var_ord, coef FROM snk", _FG, _LP),
     "lp_objective": _sql("SELECT var_ord, weight FROM inc", _FG),
+    "lp_optimum_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cex UNION ALL SELECT 'sink', '', 1", _FG, _LP),
     "lp_mini_optimum": _mini([*_COMMON, *_EXACT]),
     "lp_mini_optimum_first": _mini([*_COMMON, *_FIRST]),
     "optimal_path_dsirs": _sql("SELECT i.edge_ord, l.pos, l.dsir_id FROM inc i JOIN dsar_dsir l ON l.dsar_id = i.dst WHERE i.dst_type = 'model' AND i.pos = 0 AND i.var_ord % 3 = 0", _FG),
