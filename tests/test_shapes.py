@@ -194,6 +194,32 @@ def test_networks_against_search():
     assert compared > 300
 
 
+def test_any_network_against_search():
+    from tracewright.operators.network import heaviest
+
+    rng, compared = random.Random(11), Counter()
+    for _ in range(1500):
+        n = rng.randint(1, 6)
+        rows, weights, sink = [{} for _ in range(n)], [], {}
+        for v in range(rng.randint(1, 13)):
+            a, b = sorted(rng.sample(range(-1, n + 1), 2))
+            weights.append(rng.randint(0, rng.choice([1, 4, 64])) / 64)
+            if a >= 0:
+                rows[a][v] = -1
+            if b < n:
+                rows[b][v] = 1
+            elif rng.random() < 0.3:
+                sink[v] = 1
+        rows = [r for r in rows if r]
+        rng.shuffle(rows)
+        for units in (0, 1) if sink else (0,):
+            found = heaviest(weights, rows, sink, units)
+            best = solver._search(weights, [*((r, 0) for r in rows), *([(sink, units)] if sink else [])])
+            assert found is not None and (found or None) == best
+            compared[units, best is None] += 1
+    assert min(compared[0, False], compared[1, False], compared[1, True]) > 100
+
+
 def test_engine(spark):
     jobs = [{"_id": "r1", "input_dsars": ["s0"], "output_dsir": "j", "model_type": "m", "relevance": 0.5}]
     t = tables(spark, [record("j", JG, children=["p"]), record("p", PSM, ["j"], dsar="g")], [group("s0", AM, [], "undefined"), group("g", PSM, ["p"])], jobs)
