@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, warc
+from . import centroids, decontaminate, warc
+from .centroids import op11_centroids
 from .decontaminate import op6_decontamination
 from .html import op4_html_extraction
 from .licenses import op8_license_scan
@@ -10,6 +11,7 @@ from .lm import op9_lm_scoring
 from .mixing import op5_mixing
 from .quality import op1_quality_classifier
 from .rules import op3_quality_rules
+from .runs import op12_periodic_runs
 from .sharding import op7_sharding
 from .simhash import op2_simhash_near_dedup
 from .warc import op10_warc
@@ -27,6 +29,8 @@ QUERIES = {
         op8_license_scan,
         op9_lm_scoring,
         op10_warc,
+        op11_centroids,
+        op12_periodic_runs,
     )
 }
-ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE, "op11_centroids": centroids.ORACLE}
