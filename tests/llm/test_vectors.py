@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.rows import listed
 from tests.oracle import connect, duckdb_rows, spark_rows
-from tracewright.llm import centroids
+from tracewright.llm import centroids, pivots
 
 VEC = "vec_id long, embedding array<double>, label int"
 CLASHING = "x int, cluster string, uid string, h1 int, near string, n_links string, upper int"
@@ -85,3 +85,77 @@ def test_bounds_skip_most_distances():
         moved = centroids._up(np.sqrt(centroids.squared(new, c).astype(float)))
         upper, lower, c = centroids._up(upper + moved[own]), np.maximum(centroids._down32(lower - moved), np.float32(0)), new
     assert took < 3000 * 16 / 10
+
+
+def plain_links(rows, cosine=0.95):
+    """(id, n_links, component_id, kept) by all pairs."""
+    good = lambda v: v is not None and len(v) > 0 and all(c is not None and math.isfinite(c) for c in v) and any(v)
+    n = len(rows)
+    near = np.zeros((n, n), bool)
+    for size in {len(v) for _, v in rows if good(v)}:
+        at = [k for k, (_, v) in enumerate(rows) if good(v) and len(v) == size]
+        x = np.array([rows[k][1] for k in at])
+        x = x / np.abs(x).max(axis=1)[:, None]
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        near[np.ix_(at, at)] = x @ x.T >= cosine
+    np.fill_diagonal(near, False)
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(near, label[None], n).min(axis=1, initial=n))
+        if (new == label).all():
+            break
+        label = new
+    out = []
+    for k in range(n):
+        ids = [rows[x][0] for x in np.flatnonzero(label == label[k]) if rows[x][0] is not None]
+        least = min(ids) if ids else None
+        out.append((rows[k][0], int(near[k].sum()), least, least == rows[k][0]))
+    return sorted(out, key=repr)
+
+
+LINKS = ("vec_id", "n_links", "component_id", "kept")
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_near_vectors(spark, extra):
+    df = awkward(spark, extra)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    expected = plain_links(rows)
+    assert sum(r[1] > 0 for r in expected) > 50
+    assert listed(pivots.near_vectors(df), *LINKS) == expected
+    assert pivots.near_vectors(df.where("false")).count() == 0
+    assert listed(pivots.near_vectors(df.where("vec_id = 900 or vec_id = 902")), *LINKS) == [(900, 0, 900, True), (902, 0, 902, True)]
+
+
+def test_crowds_are_dealt_in_parts_and_every_link_counted_once(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 64))
+    rows = [(k, (base[0] + rng.normal(size=64) * 0.15).tolist(), 0) for k in range(400)] + [(1000 + k, (base[k % 40] + rng.normal(size=64) * 0.12).tolist(), 0) for k in range(400)]
+    rows += [(3000 + k, rows[k % 30][1], 0) for k in range(60)]
+    expected = plain_links([(i, v) for i, v, _ in rows])
+    for block in (1024, 25):
+        found = listed(pivots.near_vectors(spark.createDataFrame(rows, VEC), nearest=12, block=block), *LINKS)
+        links = sum(r[1] for r in expected)
+        assert all(f[1] <= e[1] for f, e in zip(found, expected, strict=True))
+        assert sum(r[1] for r in found) >= 0.999 * links and [r[2] for r in found] == [r[2] for r in expected]
+
+
+@pytest.mark.parametrize("cosine", [0.95, 0.97])
+def test_recall_of_the_index(spark, cosine):
+    """Pairs at exactly the cosine asked for, the hardest ones, among others."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=(1500, 64))
+    z -= np.einsum("ij,ij->i", z, x)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = (cosine + 1e-9) * x + math.sqrt(1 - (cosine + 1e-9) ** 2) * z
+    far = (cosine - 1e-6) * x + math.sqrt(1 - (cosine - 1e-6) ** 2) * z
+    rows = [(k, v.tolist(), 0) for k, v in enumerate([*x, *(y[:1000]), *(far[1000:])])]
+    found = pivots.near_vectors(spark.createDataFrame(rows, VEC), cosine=cosine).where("n_links > 0").collect()
+    assert {r["component_id"] for r in found} <= set(range(1000)) and len(found) >= 2 * 970
+
+
+def test_table(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert listed(pivots.op13_near_vectors(spark, sf), *LINKS) == plain_links(rows)

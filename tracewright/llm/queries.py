@@ -9,6 +9,7 @@ from .html import op4_html_extraction
 from .licenses import op8_license_scan
 from .lm import op9_lm_scoring
 from .mixing import op5_mixing
+from .pivots import op13_near_vectors
 from .quality import op1_quality_classifier
 from .rules import op3_quality_rules
 from .runs import op12_periodic_runs
@@ -31,6 +32,7 @@ QUERIES = {
         op10_warc,
         op11_centroids,
         op12_periodic_runs,
+        op13_near_vectors,
     )
 }
 ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE, "op11_centroids": centroids.ORACLE}
