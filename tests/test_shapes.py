@@ -220,6 +220,92 @@ def test_any_network_against_search():
     assert min(compared[0, False], compared[1, False], compared[1, True]) > 100
 
 
+def decimal_network(rng, n_vars, cycles):
+    """A network with weights that are no binary fractions: (weights, rows, sink)."""
+    n = rng.randint(1, 6)
+    rows, weights, sink = [{} for _ in range(n)], [], {}
+    for v in range(rng.randint(1, n_vars)):
+        a, b = rng.sample(range(-1, n + 1), 2) if cycles else sorted(rng.sample(range(-1, n + 1), 2))
+        if cycles and (a == n or b == -1):
+            a, b = b, a
+        weights.append(rng.choice([rng.randint(0, 9) / 10, rng.random(), rng.randint(0, 4) / 4, 1e-3 * rng.randint(0, 9)]))
+        if a >= 0:
+            rows[a][v] = -1
+        if b < n:
+            rows[b][v] = 1
+        elif rng.random() < 0.3:
+            sink[v] = 1
+    return weights, [r for r in rows if r], sink
+
+
+def test_networks_of_any_weights_against_search():
+    from tracewright.operators.network import heaviest, whole
+
+    once = heaviest([0.2, 0.2, 0.2, 0.7, 0.1, 0.3, 0.1, 0.7, 0.2, 0.1, 0.3, 0.2], [{0: -1, 1: 1, 2: -1, 3: -1, 4: 1, 5: -1, 6: -1, 7: -1, 9: 1, 10: 1, 11: -1}], {3: 1, 8: 1}, 0)
+    assert round(once[0], 9) == 2.1
+    rng, compared = random.Random(11), Counter()
+    for k in range(3000):
+        weights, rows, sink = decimal_network(rng, 12, k % 3 == 0)
+        exact, shift = whole(weights)
+        for units in (0, 1) if sink else (0,):
+            best = solver._search(exact, [*((r, 0) for r in rows), *([(sink, units)] if sink else [])])
+            found = heaviest(weights, rows, sink, units)
+            assert (found or None) == (None if best is None else (best[0] / (1 << shift), best[1]))
+            compared[units, best is None, k % 3 == 0] += 1
+    assert min(compared.values()) > 100
+
+
+@pytest.mark.parametrize(("seed", "enough"), [(1, 2), (2, 1000), (3, 2)])
+def test_contracted_programs_against_search(spark, seed, enough):
+    """Whole programs as tables, contracted and dealt by component, against plain search; proof and
+    bound on what a task gets."""
+    from tracewright.operators.network import whole
+
+    rng = random.Random(seed)
+    weights, equations, ends = [], [], {}
+    while not ends or len(weights) < 15:
+        w, rows, sink = decimal_network(rng, 5, seed == 3)
+        at = len(weights)
+        equations += [{v + at: c for v, c in r.items()} for r in rows]
+        ends |= {v + at: 1 for v in sink}
+        weights += [rng.choice([0.0, 0.5, x]) if seed % 2 else x for x in w]
+    # a chain of two variables that an equation makes equal, and one in no equation
+    n = len(weights)
+    weights += [0.3, 0.1, 0.7, 0.2]
+    equations += [{n: 1, n + 1: 1, n + 2: -2}]
+    exact, shift = whole(weights)
+    best = solver._search(exact, [*((r, 0) for r in equations), (ends, 1)])
+    w = spark.createDataFrame(list(enumerate(weights)), "var_ord long, weight double")
+    e = spark.createDataFrame([(f"n{k}", "t", v, c) for k, r in enumerate(equations) for v, c in r.items()], "node_id string, node_type string, var_ord long, coef long")
+    s = spark.createDataFrame(list(ends.items()), "var_ord long, coef long")
+    found = solver.solve_program(w, e, s, enough=enough)
+    assert (found.exact, sorted(r["var_ord"] for r in found.chosen.collect())) == best
+    assert found.total == best[0] / (1 << shift)
+    assert rows_of(solver.certificate(found, w, e, s)) == {(0.0, 0.0)}
+    assert found.most_arcs <= (len(weights) if enough == 1000 else 8)
+
+
+def rows_of(df):
+    return {(r["violation"], r["gap"]) for r in df.collect()}
+
+
+def test_long_chains_and_parallel_arcs_leave_tasks_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    # three chains of 200 nodes; every tenth step is a choice of three arcs
+    arcs = spark.range(1800).select(F.col("id").alias("var_ord"), (F.col("id") % 3).alias("copy"), F.floor(F.col("id") / 3).alias("at"))
+    arcs = arcs.withColumns({"chain": F.floor(F.col("at") / 200), "step": F.col("at") % 200}).where("copy = 0 or step % 10 = 5").cache()
+    w = arcs.select("var_ord", ((F.hash("var_ord") % 1000 + 1000) / 1000.0).alias("weight"))
+    into = arcs.where("step < 199").select(F.concat_ws("-", "chain", "step").alias("node_id"), F.lit("t").alias("node_type"), "var_ord", F.lit(1).alias("coef"))
+    out = arcs.where("step > 0").select(F.concat_ws("-", "chain", F.col("step") - 1).alias("node_id"), F.lit("t").alias("node_type"), "var_ord", F.lit(-1).alias("coef"))
+    s = arcs.where("step = 199 and chain = 1").select("var_ord", F.lit(1).alias("coef"))
+    e = into.unionByName(out)
+    found = solver.solve_program(w, e, s, enough=30)
+    best = arcs.join(w, "var_ord").groupBy("chain", "step").agg(F.max("weight").alias("m")).agg(F.sum("m")).first()[0]
+    assert abs(found.total - best) < 1e-9 and found.chosen.count() == 600 and found.most_arcs <= 30
+    assert rows_of(solver.certificate(found, w, e, s)) == {(0.0, 0.0)}
+
+
 def test_engine(spark):
     jobs = [{"_id": "r1", "input_dsars": ["s0"], "output_dsir": "j", "model_type": "m", "relevance": 0.5}]
     t = tables(spark, [record("j", JG, children=["p"]), record("p", PSM, ["j"], dsar="g")], [group("s0", AM, [], "undefined"), group("g", PSM, ["p"])], jobs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,32 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df in the shared folder, without df's lineage; they outlive their executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables that a piece of work writes on its way, in a folder of its own below the shared one:
+    ``with Scratch(spark) as keep: df = keep(df)``. Unlike a checkpoint, which hands what the planner
+    had concluded about its columns on to every plan above it (in a loop these conclusions multiply),
+    a written table starts afresh. All are deleted at the end, so results must be cut before."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.n = spark, 0
+        self.path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system and all in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

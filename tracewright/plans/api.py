@@ -12,11 +12,13 @@ from ..sources.store import to_json
 
 class Engine:
     """Graphs over one provenance store. generate rebuilds; otherwise the last result is returned,
-    or None before the first build. Errors are exceptions."""
+    or None before the first build. A flow graph and its solution may be given where they are built
+    already. Errors are exceptions."""
 
-    def __init__(self, tables: Tables, position: str = "exact", max_vars: int = 4000) -> None:
+    def __init__(self, tables: Tables, position: str = "exact", max_vars: int = 4000, flow: FlowGraph | None = None, chosen: DataFrame | None = None) -> None:
         self.tables, self.position, self.max_vars = tables, position, max_vars
-        self._model_graph = self._flow = self._chosen = self._path = None
+        self._flow, self._chosen = flow, chosen
+        self._model_graph = self._path = None
 
     def model_graph(self, generate: bool = False) -> DataFrame | None:
         """(name, periods)"""
@@ -39,6 +41,7 @@ class Engine:
         """(edge_ord, pos, dsir_id)"""
         if generate:
             self.flow_graph(generate=True)
+        if generate or (self._path is None and self._chosen is not None):
             self._path = model_graph.optimal_path(self.tables, program.variables(self._flow.rows), self.chosen())
         return self._path
 

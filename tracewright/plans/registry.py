@@ -29,15 +29,27 @@ def flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
     return _FLOWS[key]
 
 
-def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def solution(spark: SparkSession, sf_dir: str) -> solver.Solution:
     """The program's solution, found once for a session and a state of the folder's files."""
     key = state(spark, sf_dir)
     if key not in _SOLVED:
         _SOLVED.clear()
-        _SOLVED[key] = cut(solver.solve(flow(spark, sf_dir).rows))
+        _SOLVED[key] = solver.solution(flow(spark, sf_dir).rows)
     return _SOLVED[key]
 
 
+def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = solution(spark, sf_dir)
+    return found.chosen.withColumn("total", F.lit(found.total))
+
+
+def _proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof that no choice is better: what each variable's gain at the solution's prices is off
+    by, and how far the totals of choice and prices are apart."""
+    rows = flow(spark, sf_dir).rows
+    return solver.certificate(solution(spark, sf_dir), program.objective(rows), program.constraints(rows), program.sink(rows))
+
+
 def _equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every equation of the program comes to under the solution. SQL knows no solution, but
     what each equation must come to."""
@@ -56,14 +68,28 @@ def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(tables(spark, sf_dir), flow=flow(spark, sf_dir), chosen=solved(spark, sf_dir))
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The service's three answers, as it writes them: model graph, records of the chosen models,
     timeline of a model. The second is the solver's, so SQL has no word on it."""
-    engine = Engine(tables(spark, sf_dir))
-    found = {"model_graph": engine.model_graph(generate=True), "optimal_path": engine.optimal_path(generate=True), "timeline": engine.timeline(MIDDLE)}
+    engine = _engine(spark, sf_dir)
+    found = {"model_graph": engine.model_graph(generate=True), "optimal_path": engine.optimal_path(), "timeline": engine.timeline(MIDDLE)}
     return reduce(DataFrame.unionByName, [engine.response(df).select(F.lit(name).alias("call"), "json") for name, df in found.items()])
 
 
+def _answer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(tables(spark, sf_dir))
+    return engine.response(engine.model_graph(generate=True))
+
+
+def _answer_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(tables(spark, sf_dir), flow=flow(spark, sf_dir))
+    return engine.response(engine.timeline(MIDDLE))
+
+
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables as documents, written as JSON, read and normalised again: runs by their records."""
     t = tables(spark, sf_dir)
@@ -144,7 +170,8 @@ def _adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow(spark, sf_dir).adjacency().select("node_id", "node_type", _joined(F.col("source_edge"), "source_edge"), _joined(F.col("destination_edge"), "destination_edge"))
 
 
-#: Queries whose answer SQL cannot find; tests hold them against the program and plain search.
+#: Queries whose answer SQL cannot find. lp_certificate proves the choice that they share; tests hold
+#: the choice against plain search on small programs, and the others against the choice.
 NO_ORACLE = {"lp_optimum", "optimal_path", "service_answers", "viz_optimum"}
 
 QUERIES = {
@@ -196,6 +223,7 @@ QUERIES = {
     "lp_mini_optimum_first": lambda spark, sf_dir: solver.solve(mini.rows(spark), "first"),
     "lp_optimum": solved,
     "lp_optimum_equations": _equations,
+    "lp_certificate": _proof,
     "optimal_path_dsirs": _path,
     "optimal_path": _optimal,
     # drawing
@@ -205,6 +233,8 @@ QUERIES = {
     "viz_scenes": _on_rows(drawing.scenes),
     # service
     "service_answers": _answers,
+    "service_model_graph": _answer_graph,
+    "service_timeline": _answer_timeline,
 }
 
 # ---------------------------------------------------------------- DuckDB
@@ -379,6 +409,12 @@ ORACLES = {
     "lp_sink": _sql("SELECT var_ord, coef FROM snk", _FG, _LP),
     "lp_objective": _sql("SELECT var_ord, weight FROM inc", _FG),
     "lp_optimum_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cex UNION ALL SELECT 'sink', '', 1", _FG, _LP),
+    "lp_certificate": _sql("SELECT var_ord, 0.0::DOUBLE AS violation, 0.0::DOUBLE AS gap FROM inc", _FG),
+    "service_model_graph": _sql(
+        """SELECT concat('{"name":"', k.model_type, '","periods":[{"id":"', k.dsir_id, '","start":', k.t_begin, ',"end":', k.t_end, ',"connector":[', coalesce(l.c, ''), ']}]}') AS json FROM kept k LEFT JOIN (SELECT dsir_id, string_agg(concat('{"connectTo":"', connect_to, '","connectorType":"start-finish"}'), ',' ORDER BY pos1, pos2, pos3, connect_to) AS c FROM mg GROUP BY dsir_id) l ON l.dsir_id = k.dsir_id""",
+        _MG,
+    ),
+    "service_timeline": _recursive(f"""SELECT concat('{{"node_id":"', node_id, '"}}') AS json FROM {_BOTH} WHERE node_type = 'model'""", *_TIMELINE),
     "lp_mini_optimum": _mini([*_COMMON, *_EXACT]),
     "lp_mini_optimum_first": _mini([*_COMMON, *_FIRST]),
     "optimal_path_dsirs": _sql("SELECT i.edge_ord, l.pos, l.dsir_id FROM inc i JOIN dsar_dsir l ON l.dsar_id = i.dst WHERE i.dst_type = 'model' AND i.pos = 0 AND i.var_ord % 3 = 0", _FG),
