@@ -77,6 +77,22 @@ def test_wrapper_decides_inside_an_article():
         assert html.main_text(page, None) == "\n".join([want[0], "Our terms changed", *want[1:]])
 
 
+def test_headings_that_every_article_has_stay():
+    """In the article's flow, in a box with text of its own, and as labels of a table."""
+    for open_, close in (("", ""), ("<div class=inner>", "</div>"), ("<div class=inner><section id=s1>", "</section></div>")):
+        pages = [f"<body><article>{open_}<h1>Head {i}</h1><h2>Background</h2><p>Text {i}</p><h2 class=sub>Method</h2><table><tr><td class=k>Size</td><td>{i} m</td></tr></table><p>Same words</p>{close}<div class=box><p>Our terms changed</p></div></article></body>" for i in range(6)]
+        wrapper = json.loads(json.dumps(html.infer(pages[:4])))
+        for i, page in enumerate(pages):
+            assert html.main_text(page, wrapper, {}) == "\n".join([f"Head {i}", "Background", f"Text {i}", "Method", "Size", f"{i} m", "Same words"])
+            assert html.main_text(page, None).endswith("Our terms changed")
+
+
+def test_links_and_items_are_seen_at_any_depth():
+    inner = "<b><i><u><s><em>"
+    assert html.Page(f"<a href=x>{inner}far</em></s></u></i></b></a>").tokens[-7][0] == "#a"
+    assert html.main_text(f"<ul><li>{inner}{inner}one<li>two</ul>", None) == "one\ntwo"
+
+
 def test_wrapper_decides_without_telling_names():
     pages = [f"<body><div class=x1><p>Top line</p></div><div class=x2><h3>Head {i}</h3><p>Story {i}</p></div><div class=x3><p>Bottom line</p></div></body>" for i in range(5)]
     wrapper = json.loads(json.dumps(html.infer(pages[:4])))
