@@ -152,3 +152,31 @@ def test_sets_of_a_bucket_against_all_pairs(seed):
             if both >= 0.6 * (len(sets[x]) + len(sets[y]) - both):
                 want[want == want[x]] = want[y]
     assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))
+
+
+def test_memory_of_a_bucket_of_short_texts():
+    """The largest matrix that a task may hold: two parts of the default number of short texts."""
+    import inspect
+    import tracemalloc
+
+    rows = 2 * inspect.signature(simhash.similar).parameters["part_rows"].default
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2000, 30)) for _ in range(int(1.1 * rows))]
+    tracemalloc.start()
+    simhash.alike_in(sets, np.arange(len(sets)), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000
+
+
+def test_many_short_texts_in_one_bucket(spark):
+    """More texts than a part holds, all alike enough to share bands, against all pairs."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(400):
+        words = [f"w{x}" for x in range(34)]
+        for at in rng.integers(0, 34, k % 3):
+            words[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(words)))
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8, few=0, part_rows=50)
+    assert sorted(r["doc_id"] for r in found.collect()) == plain_kept(rows)

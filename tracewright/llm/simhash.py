@@ -448,7 +448,7 @@ def _hashed(width: int):
     return by_batch(of, "array<long>")
 
 
-def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH, few: int = 8, bucket_rows: int = 4096, part_shingles: int = 1_000_000) -> DataFrame:
+def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str, similarity: float, width: int = WIDTH, few: int = 8, bucket_rows: int = 4096, part_shingles: int = 1_000_000, part_rows: int = 2048) -> DataFrame:
     """roots(fp, root) to (root, top): the groups that texts of at least that similarity join, for
     groups that are joined to another. prints has t (hash of the text), fp and bands.
 
@@ -459,7 +459,8 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
     one group are done. What is left of a bucket is compared as a whole, on its texts' hashed
     shingles; one of more than ``bucket_rows`` texts is first taken apart by a second and a third
     shared band (a pair at exactly 0.8 lacks these with a probability of 4e-4), and one of more than
-    ``part_shingles`` is dealt as pairs of parts, so a task's work is bounded."""
+    ``part_shingles`` or ``part_rows`` is dealt as pairs of parts, so a task's work and its matrix of
+    shared shingles (of two parts at once) are bounded however short the texts are."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -521,7 +522,7 @@ def similar(docs: DataFrame, prints: DataFrame, roots: DataFrame, text_col: str,
         return roots.select("root", F.col("root").alias("top")).where("false") if found is None else found
     wanted = source.join(bounded(cut(left.select("t").distinct())), "t", "left_semi")
     sets = cut(wanted.select("t", _hashed(width)("text").alias("hashes")))
-    weights = left.groupBy("key").agg(F.ceil(F.sum("shingles") / part_shingles).cast("int").alias("parts"))
+    weights = left.groupBy("key").agg(F.greatest(F.ceil(F.sum("shingles") / part_shingles), F.ceil(F.count("*") / part_rows)).cast("int").alias("parts"))
     home = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
     pair = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (j != home) | (F.col("parts") == 1)), lambda j: (F.least(j, home) * F.col("parts") + F.greatest(j, home)).cast("int"))
     dealt = left.join(bounded(cut(weights)), "key").select("key", "t", "root", F.explode(pair).alias("part")).join(sets, "t")
