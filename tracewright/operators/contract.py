@@ -97,7 +97,7 @@ def _ways(arcs: DataFrame) -> DataFrame:
     return ends.where(~_special("node")).groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
-def _joined(arcs: DataFrame, back: bool, turn: int, keep: Scratch) -> tuple[DataFrame, Step]:
+def _joined(arcs: DataFrame, back: bool, turn: int, keep: Scratch) -> tuple[DataFrame, Step | None]:
     a, b = ("head", "tail") if back else ("tail", "head")
     one, ways = ("n_in", "n_out") if back else ("n_out", "n_in")
     known = keep(_ways(arcs))
@@ -109,6 +109,8 @@ def _joined(arcs: DataFrame, back: bool, turn: int, keep: Scratch) -> tuple[Data
     coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 1
     rule = F.col("also").isNull() if turn % 2 == 0 else coin("node") & (F.col("also").isNull() | ~coin("far"))
     taken = keep(goes.join(also, "far", "left").where(rule).select("node", "far", "o", "wo"))
+    if taken.isEmpty():
+        return arcs, None
     moved = arcs.join(taken.select(F.col("o").alias("arc")), "arc", "left_anti").join(taken.withColumnRenamed("node", b), b, "left")
     moved = keep(moved.select("arc", F.col(a), F.coalesce("far", b).alias(b), (F.col("w") + F.coalesce("wo", F.lit(0))).cast(arcs.schema["w"].dataType).alias("w"), "o"))
     return moved.select("arc", "tail", "head", "w"), Step(taken, moved.where("o is not null").select("arc", "o"), back)
@@ -135,8 +137,8 @@ class Contracted:
     def expanded(self, chosen: DataFrame, keep: Scratch) -> DataFrame:
         """chosen(arc) of the contracted arcs to that of all."""
         for step in reversed(self.steps):
-            chosen = chosen.unionByName(step.follows.join(chosen, "arc").select(F.col("o").alias("arc")))
-        return keep(chosen)
+            chosen = keep(chosen.unionByName(step.follows.join(chosen, "arc").select(F.col("o").alias("arc"))))
+        return chosen
 
     def priced(self, prices: DataFrame, keep: Scratch) -> DataFrame:
         """prices(node, price) of the contracted nodes, the special ones among them, to that of all."""
@@ -145,8 +147,8 @@ class Contracted:
             sign = 1 if step.back else -1
             far = step.taken.join(prices.toDF("far", "p"), "far", "left")
             kind = prices.schema["price"].dataType
-            prices = prices.unionByName(far.select("node", (F.coalesce("p", zero) + sign * F.col("wo")).cast(kind).alias("price")))
-        return keep(prices)
+            prices = keep(prices.unionByName(far.select("node", (F.coalesce("p", zero) + sign * F.col("wo")).cast(kind).alias("price"))))
+        return prices
 
 
 def contracted(arcs: DataFrame, enough: int, keep: Scratch, max_passes: int = 60) -> Contracted:
@@ -158,7 +160,8 @@ def contracted(arcs: DataFrame, enough: int, keep: Scratch, max_passes: int = 60
             break
         for back in (False, True):
             out.arcs, step = _joined(out.arcs, back, turn, keep)
-            out.steps.append(step)
+            if step:
+                out.steps.append(step)
         out.arcs = _pruned(out.arcs, keep)
         out.n = out.arcs.count()
         sizes.append(out.n)
