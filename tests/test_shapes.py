@@ -306,6 +306,39 @@ def test_long_chains_and_parallel_arcs_leave_tasks_few_rows(spark):
     assert rows_of(solver.certificate(found, w, e, s)) == {(0.0, 0.0)}
 
 
+def test_index_of_timelines_is_the_walk_from_every_node(spark):
+    """Random hypergraphs, cycles and repeated sources among them."""
+    from tracewright.operators.reach import Timelines
+
+    rng = random.Random(6)
+    for cycles in (False, True):
+        edges = []
+        for k in range(14):
+            sources = [f"n{rng.randint(0, 11)}" for _ in range(rng.randint(1, 3))]
+            dst = f"n{rng.randint(0, 11) if cycles else 12 + k}"
+            if not cycles and k:
+                sources = [f"n{rng.randint(0, 11 + k)}" for _ in sources]
+            edges.append((k, sources, dst))
+        made = [(k, v, dst, "dsir", "model", "AND", s, "dsir", "model", v, 1.0) for k, sources, dst in edges for v, s in enumerate(sources)]
+        index = Timelines(spark.createDataFrame(made, mini.SCHEMA))
+        nodes = {x for _, sources, dst in edges for x in (*sources, dst)}
+        found = {}
+        for r in index.models.collect():
+            found.setdefault((r["start"], r["direction"]), set()).add(r["node_id"])
+        sizes = {(r["start"], r["direction"]): r["n_nodes"] for r in index.sizes().collect()}
+        for x in nodes:
+            behind, ahead = {x}, {x}
+            for _ in nodes:
+                behind |= {s for _, sources, dst in edges if dst in behind for s in sources}
+                ahead |= {y for _, sources, dst in edges if ahead & set(sources) for y in (*sources, dst)}
+            assert found.get((x, "backward"), set()) == behind - {x} and found[x, "forward"] == ahead
+            assert (sizes[x, "backward"], sizes[x, "forward"]) == (len(behind) - 1, len(ahead))
+        x = sorted(nodes)[3]
+        assert sorted(r["node_id"] for r in index.model_timeline(x).collect()) == sorted([*found.get((x, "backward"), ()), *found[x, "forward"]])
+        assert rows(index.timeline("absent"), "node_id", "direction") == [("absent", "forward")] and rows(index.model_timeline("absent"), "node_id") == [("absent",)]
+        assert {r["node_id"] for r in index.backward(x).collect()} == found.get((x, "backward"), set()) | {x}
+
+
 def test_engine(spark):
     jobs = [{"_id": "r1", "input_dsars": ["s0"], "output_dsir": "j", "model_type": "m", "relevance": 0.5}]
     t = tables(spark, [record("j", JG, children=["p"]), record("p", PSM, ["j"], dsar="g")], [group("s0", AM, [], "undefined"), group("g", PSM, ["p"])], jobs)

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 
 from ..operators import drawing, model_graph, program, solver, traverse
 from ..operators.flow_graph import FlowGraph
+from ..operators.reach import Timelines
 from ..sources.documents import Tables
 from ..sources.store import to_json
 
 
 class Engine:
     """Graphs over one provenance store. generate rebuilds; otherwise the last result is returned,
-    or None before the first build. A flow graph and its solution may be given where they are built
-    already. Errors are exceptions."""
+    or None before the first build. A flow graph, its solution and its index of timelines may be given
+    where they are built already. Errors are exceptions."""
 
-    def __init__(self, tables: Tables, position: str = "exact", max_vars: int = 4000, flow: FlowGraph | None = None, chosen: DataFrame | None = None) -> None:
+    def __init__(self, tables: Tables, position: str = "exact", max_vars: int = 4000, flow: FlowGraph | None = None, chosen: DataFrame | None = None, timelines: Timelines | None = None) -> None:
         self.tables, self.position, self.max_vars = tables, position, max_vars
-        self._flow, self._chosen = flow, chosen
+        self._flow, self._chosen, self._timelines = flow, chosen, timelines
         self._model_graph = self._path = None
 
     def model_graph(self, generate: bool = False) -> DataFrame | None:
@@ -28,7 +29,7 @@ class Engine:
 
     def flow_graph(self, generate: bool = False) -> FlowGraph:
         if generate or self._flow is None:
-            self._flow, self._chosen, self._path = FlowGraph(self.tables), None, None
+            self._flow, self._chosen, self._path, self._timelines = FlowGraph(self.tables), None, None, None
         return self._flow
 
     def chosen(self) -> DataFrame:
@@ -46,7 +47,12 @@ class Engine:
         return self._path
 
     def timeline(self, node_id: str, as_shipped: bool = False) -> DataFrame:
-        """(node_id): the model nodes before and after a model node."""
+        """(node_id): the model nodes before and after a model node, looked up in an index that the
+        first request builds; as_shipped walks."""
+        if not as_shipped:
+            if self._timelines is None:
+                self._timelines = Timelines(self.flow_graph().rows)
+            return self._timelines.model_timeline(node_id)
         return traverse.model_timeline(self.flow_graph().rows, node_id, as_shipped=as_shipped)
 
     def drawing(self, optimal: bool = False) -> DataFrame:

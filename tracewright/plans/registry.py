@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, shared_dir
-from ..operators import drawing, model_graph, program, solver, traverse
+from ..operators import drawing, model_graph, program, reach, solver, traverse
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
 from ..sources.orders import build, duckdb_tables, state, tables
@@ -18,6 +18,7 @@ from .api import Engine
 BACK, AHEAD, MIDDLE, EARLY = "M5-2001", "M1-1995", "M3-1998", "M3-1996"
 _FLOWS: dict = {}
 _SOLVED: dict = {}
+_TIMELINES: dict = {}
 
 
 def flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
@@ -43,6 +44,15 @@ def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.chosen.withColumn("total", F.lit(found.total))
 
 
+def timelines(spark: SparkSession, sf_dir: str) -> reach.Timelines:
+    """The index of timelines, built once for a session and a state of the folder's files."""
+    key = state(spark, sf_dir)
+    if key not in _TIMELINES:
+        _TIMELINES.clear()
+        _TIMELINES[key] = reach.Timelines(flow(spark, sf_dir).rows)
+    return _TIMELINES[key]
+
+
 def _proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proof that no choice is better: what each variable's gain at the solution's prices is off
     by, and how far the totals of choice and prices are apart."""
@@ -69,7 +79,7 @@ def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(tables(spark, sf_dir), flow=flow(spark, sf_dir), chosen=solved(spark, sf_dir))
+    return Engine(tables(spark, sf_dir), flow=flow(spark, sf_dir), chosen=solved(spark, sf_dir), timelines=timelines(spark, sf_dir))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +96,7 @@ def _answer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answer_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(tables(spark, sf_dir), flow=flow(spark, sf_dir))
+    engine = Engine(tables(spark, sf_dir), flow=flow(spark, sf_dir), timelines=timelines(spark, sf_dir))
     return engine.response(engine.timeline(MIDDLE))
 
 
@@ -204,10 +214,13 @@ QUERIES = {
     "fg_adjacency": _adjacency,
     "fg_node_degree": lambda spark, sf_dir: flow(spark, sf_dir).degrees(),
     # traversal
-    "timeline_backward": _on_rows(lambda r: traverse.backward(r, BACK, "model").select("node_id", "node_type")),
-    "timeline_forward": _on_rows(lambda r: traverse.forward(r, AHEAD, "model").select("node_id", "node_type")),
-    "timeline": _on_rows(lambda r: traverse.timeline(r, MIDDLE).select("node_id", "node_type", "direction")),
-    "timeline_models": _on_rows(lambda r: traverse.model_timeline(r, MIDDLE)),
+    "timeline_sizes": lambda spark, sf_dir: timelines(spark, sf_dir).sizes(),
+    "timeline_all_models": lambda spark, sf_dir: timelines(spark, sf_dir).models,
+    "timeline_backward": lambda spark, sf_dir: timelines(spark, sf_dir).backward(BACK),
+    "timeline_forward": lambda spark, sf_dir: timelines(spark, sf_dir).forward(AHEAD),
+    "timeline": lambda spark, sf_dir: timelines(spark, sf_dir).timeline(MIDDLE),
+    "timeline_models": lambda spark, sf_dir: timelines(spark, sf_dir).model_timeline(MIDDLE),
+    "timeline_walk": _on_rows(lambda r: traverse.timeline(r, EARLY).select("node_id", "node_type", "direction")),
     "timeline_models_as_shipped": _on_rows(lambda r: traverse.model_timeline(r, EARLY, as_shipped=True)),
     "timeline_paths": _on_rows(lambda r: traverse.backward_paths(r, BACK, "model").select("node_id", "node_type", F.col("n_paths").cast("string").alias("n_paths"))),
     # selection program
@@ -318,6 +331,13 @@ def _paths(node_id: str, name: str, levels: int) -> str:
     return ", ".join([first, *more, f"{name} AS (SELECT node_id, node_type, sum(n)::HUGEINT AS n FROM ({every}) GROUP BY ALL)"])
 
 
+def _all(step: str, name: str) -> str:
+    """What every model reaches, by its start."""
+    return f"{name} AS (SELECT node_id AS start, node_id, 'model' AS node_type FROM (SELECT src AS node_id FROM inc WHERE src_type = 'model' UNION SELECT dst FROM inc WHERE dst_type = 'model') UNION SELECT r.start, s.b, s.bt FROM {name} r JOIN {step} s ON s.a = r.node_id AND s.at_ = r.node_type)"
+
+
+_EVERY = (_all("behind", "rb"), _all("ahead", "rf"))
+_EVERY_BOTH = "(SELECT start, node_id, node_type, 'backward' AS direction FROM rb WHERE NOT (node_id = start AND node_type = 'model') UNION ALL SELECT start, node_id, node_type, 'forward' FROM rf WHERE node_type <> '#')"
 _TIMELINE = (_reach(MIDDLE, "behind", "rb"), _reach(MIDDLE, "ahead", "rf"))
 _BOTH = f"""(SELECT node_id, node_type, 'backward' AS direction FROM rb WHERE NOT (node_id = '{MIDDLE}' AND node_type = 'model') UNION ALL SELECT node_id, node_type, 'forward' FROM rf WHERE node_type <> '#')"""
 _STAGE = "SELECT dst, dst_type, dst_model, edge_type, src, src_type, src_model, pos, weight FROM "
@@ -391,6 +411,9 @@ ORACLES = {
     ),
     "timeline_backward": _recursive("SELECT node_id, node_type FROM r", _reach(BACK, "behind", "r")),
     "timeline_forward": _recursive("SELECT node_id, node_type FROM r WHERE node_type <> '#'", _reach(AHEAD, "ahead", "r")),
+    "timeline_sizes": _recursive(f"SELECT start, direction, count(*) AS n_nodes FROM {_EVERY_BOTH} GROUP BY ALL UNION ALL SELECT start, 'backward', 0 FROM rb GROUP BY start HAVING count(*) = 1", *_EVERY),
+    "timeline_all_models": _recursive(f"SELECT start, node_id, direction FROM {_EVERY_BOTH} WHERE node_type = 'model'", *_EVERY),
+    "timeline_walk": _recursive("SELECT node_id, node_type, direction FROM " + _BOTH.replace(MIDDLE, EARLY), _reach(EARLY, "behind", "rb"), _reach(EARLY, "ahead", "rf")),
     "timeline": _recursive(f"SELECT node_id, node_type, direction FROM {_BOTH}", *_TIMELINE),
     "timeline_models": _recursive(f"SELECT node_id FROM {_BOTH} WHERE node_type = 'model'", *_TIMELINE),
     "timeline_models_as_shipped": _recursive(
