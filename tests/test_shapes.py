@@ -255,7 +255,50 @@ def test_networks_of_any_weights_against_search():
     assert min(compared.values()) > 100
 
 
-@pytest.mark.parametrize(("seed", "enough"), [(1, 2), (2, 1000), (3, 2)])
+def all_choices(weights, rows):
+    """(total, chosen) of every feasible choice, the best first."""
+    n = len(weights)
+    found = [[k for k in range(n) if x[k]] for x in itertools.product((0, 1), repeat=n) if all(sum(c * x[v] for v, c in r.items()) == rhs for r, rhs in rows)]
+    return sorted(((sum(weights[v] for v in c), c) for c in found), key=lambda t: (-t[0], t[1]))
+
+
+def test_next_flow_against_all_choices():
+    import numpy as np
+
+    from tracewright.operators import network
+
+    rng, compared = random.Random(3), 0
+    for k in range(400):
+        weights, rows, sink = decimal_network(rng, 9, k % 3 == 0)
+        exact, _ = network.whole(weights)
+        tail, head, w, members, n = network.arcs(exact, rows, {})
+        used = network.flow(tail, head, w, n, 0)
+        found = network.cheapest_turn(tail, head, w, n, used, network.potentials(tail, head, w, n, used))
+        every = all_choices(exact, [(r, 0) for r in rows])
+        assert len(members) == len(weights) and (found is None) == (len(every) == 1)
+        if found:
+            used[found[1]] ^= True
+            assert every[0][0] - found[0] == every[1][0] and (every[1][0], [v for v in range(len(weights)) if used[v]]) in every
+            compared += 1
+        part = solver.next_choice(exact, [(r, 0) for r in rows], every[0][1])
+        assert part == (every[1] if len(every) > 1 else None)
+    assert compared > 200
+
+
+def test_second_of_the_small_program(spark):
+    small = mini.rows(spark)
+    found = solver.solution(small, second=True)
+    terms = {}
+    for r in program.constraints(small).collect():
+        terms.setdefault((r["node_id"], r["node_type"]), {})[r["var_ord"]] = r["coef"]
+    sink = {r["var_ord"]: r["coef"] for r in program.sink(small).collect()}
+    weights = [r["weight"] for r in sorted(program.objective(small).collect(), key=lambda r: r["var_ord"])]
+    every = all_choices(weights, [*((r, 0) for r in terms.values()), (sink, 1)])
+    assert (found.total, sorted(r[0] for r in found.chosen.collect())) == every[0]
+    assert (found.second_exact / 2**found.shift, sorted(r[0] for r in found.second.collect())) == every[1]
+
+
+@pytest.mark.parametrize(("seed", "enough"), [(1, 2), (2, 1000), (3, 2), (4, 1000)])
 def test_contracted_programs_against_search(spark, seed, enough):
     """Whole programs as tables, contracted and dealt by component, against plain search; proof and
     bound on what a task gets."""
@@ -278,7 +321,16 @@ def test_contracted_programs_against_search(spark, seed, enough):
     w = spark.createDataFrame(list(enumerate(weights)), "var_ord long, weight double")
     e = spark.createDataFrame([(f"n{k}", "t", v, c) for k, r in enumerate(equations) for v, c in r.items()], "node_id string, node_type string, var_ord long, coef long")
     s = spark.createDataFrame(list(ends.items()), "var_ord long, coef long")
-    found = solver.solve_program(w, e, s, enough=enough)
+    if best is None:
+        with pytest.raises(ValueError, match="no feasible"):
+            solver.solve_program(w, e, s, enough=enough)
+        return
+    found = solver.solve_program(w, e, s, enough=enough, second=True)
+    other = sorted(r["var_ord"] for r in found.second.collect())
+    chosen = set(other)
+    assert other != best[1] and found.second_exact == sum(exact[v] for v in other)
+    assert all(sum(c for v, c in r.items() if v in chosen) == 0 for r in equations) and sum(c for v, c in ends.items() if v in chosen) == 1
+    assert found.second_exact == solver.next_choice(exact, [*((r, 0) for r in equations), (ends, 1)], best[1])[0]
     assert (found.exact, sorted(r["var_ord"] for r in found.chosen.collect())) == best
     assert found.total == best[0] / (1 << shift)
     assert rows_of(solver.certificate(found, w, e, s)) == {(0.0, 0.0)}

@@ -16,6 +16,7 @@ a place's best was met before the places it leads to, so a walk back along a pat
 
 from __future__ import annotations
 
+import heapq
 from math import gcd
 
 import numpy as np
@@ -282,6 +283,43 @@ def smallest(tail, head, key, n, used, tied):
     return used
 
 
+def cheapest_turn(tail, head, weight, n, used, price) -> tuple[int, list[int]] | None:
+    """(loss, arcs): the arcs to turn over that give the next heaviest flow with as many units in the
+    sink. Two flows differ by cycles of arcs left out and arcs taken backwards, each losing what its
+    arcs are off at the potentials; the next flow differs by the one that loses least."""
+    tail, head = np.where(tail == DRAIN, SOURCE, tail), np.where(head == DRAIN, SOURCE, head)
+    price = price.copy()
+    price[DRAIN] = 0
+    a, b = np.where(used, head, tail).tolist(), np.where(used, tail, head).tolist()
+    loss = [abs(int(x)) for x in (weight + price[tail] - price[head]).tolist()]
+    ways: list[list[int]] = [[] for _ in range(n)]
+    for k, x in enumerate(a):
+        ways[x].append(k)
+    best: tuple[int, list[int]] | None = None
+    for first in sorted(range(len(a)), key=lambda k: loss[k]):
+        if best is not None and loss[first] >= best[0]:
+            break
+        # the rest of the cycle: the shortest way back, over arcs that lose no less
+        near, by, todo = {b[first]: loss[first]}, {}, [(loss[first], b[first])]
+        while todo:
+            far, x = heapq.heappop(todo)
+            if far > near[x] or (best is not None and far >= best[0]):
+                continue
+            if x == a[first]:
+                path = [first]
+                while x != b[first]:
+                    path.append(by[x])
+                    x = a[by[x]]
+                best = (far, path)
+                break
+            for k in ways[x]:
+                y, d = b[k], far + loss[k]
+                if loss[k] >= loss[first] and d < near.get(y, d + 1):
+                    near[y], by[y] = d, k
+                    heapq.heappush(todo, (d, y))
+    return best
+
+
 def _holds(chosen: list[int], rows: Rows, sink: dict[int, int], units: int) -> bool:
     found = set(chosen)
     return sum(c for v, c in sink.items() if v in found) == (units if sink else 0) and all(sum(c for v, c in row.items() if v in found) == 0 for row in rows)

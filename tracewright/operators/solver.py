@@ -185,11 +185,37 @@ def smallest_arcs(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"arc": frame["arc"].to_numpy()[new != used]})
 
 
+def turn_arcs(frame: pd.DataFrame, end: int) -> pd.DataFrame:
+    """frame: (root, arc, tail, head, w, x) to one row (root, loss, arcs): the arcs to turn over for
+    the next best choice of the group, if a unit in the sink is paid for with ``end``."""
+    tail, head, weight, names = _arrays(frame)
+    used, n = frame["x"].to_numpy(), len(names)
+    paid = network.numbers([w - end if k else w for w, k in zip(weight.tolist(), (head == network.SINK).tolist(), strict=True)])
+    price = network.potentials(tail, np.where(head == network.SINK, network.DRAIN, head), paid, n, used)
+    price[network.SINK] = end
+    found = network.cheapest_turn(tail, head, weight, n, used, price)
+    out = [] if found is None else [(frame["root"].iloc[0], str(found[0]), frame["arc"].to_numpy()[found[1]].tolist())]
+    return pd.DataFrame(out, columns=["root", "loss", "arcs"], dtype=object)
+
+
+def next_choice(weights: list[int], rows: list[tuple[dict[int, int], int]], best: list[int]) -> tuple[int, list[int]] | None:
+    """The best choice but for ``best``, by parting all others at the first variable in which they
+    differ from it (Murty 1968, Lawler 1972) and searching each part."""
+    taken, found = set(best), None
+    for k in range(len(weights)):
+        fixed = [({v: 1}, int(v in taken)) for v in range(k)] + [({k: 1}, int(k not in taken))]
+        part = _search(weights, [*rows, *fixed])
+        if part is not None and (found is None or part[0] > found[0] or (part[0] == found[0] and part[1] < found[1])):
+            found = part
+    return found
+
+
 @dataclass
 class Solution:
     """chosen(var_ord); total; shift: weights and prices are whole numbers times 2**-shift. For the
     part that is a network: arcs(arc, tail, head, w, x), kind(var_ord, arc) and prices(node, price),
-    and how many arcs tasks were given at most."""
+    and how many arcs tasks were given at most. second(var_ord) and second_exact: the next best
+    choice, where it was asked for and there is one."""
 
     chosen: DataFrame
     total: float
@@ -199,6 +225,8 @@ class Solution:
     kind: DataFrame | None = None
     prices: DataFrame | None = None
     most_arcs: int = 0
+    second: DataFrame | None = None
+    second_exact: int | None = None
 
 
 def solve(rows: DataFrame, position: str = "exact", max_vars: int = 4000) -> DataFrame:
@@ -208,11 +236,11 @@ def solve(rows: DataFrame, position: str = "exact", max_vars: int = 4000) -> Dat
     return found.chosen.withColumn("total", F.lit(found.total))
 
 
-def solution(rows: DataFrame, position: str = "exact", max_vars: int = 4000, enough: int = 20_000) -> Solution:
+def solution(rows: DataFrame, position: str = "exact", max_vars: int = 4000, enough: int = 20_000, second: bool = False) -> Solution:
     ends = program.sink(rows)
     if ends.isEmpty():
         raise ValueError("no sink: every model leads to another one")
-    return solve_program(program.objective(rows), program.constraints(rows, position), ends, max_vars, enough)
+    return solve_program(program.objective(rows), program.constraints(rows, position), ends, max_vars, enough, second)
 
 
 def _low_bits():
@@ -241,14 +269,16 @@ def _scaled(shift: int):
     return F.arrow_udf(of, "decimal(38,0)")
 
 
-def solve_program(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars: int = 4000, enough: int = 20_000) -> Solution:
+def solve_program(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars: int = 4000, enough: int = 20_000, second: bool = False) -> Solution:
     """weights(var_ord, weight), equations(node_id, node_type, var_ord, coef), ends(var_ord, coef).
-    A variable in no equation is chosen if it gains; only the others form components."""
+    A variable in no equation is chosen if it gains; only the others form components. With ``second``
+    the next best choice is found too: of a network by the cycle of arcs that loses least, of another
+    program (in one component) by parting the choices at the first variable that differs."""
     with Scratch(weights.sparkSession) as keep:
-        return _solved(weights, equations, ends, max_vars, enough, keep)
+        return _solved(weights, equations, ends, max_vars, enough, keep, second)
 
 
-def _solved(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars: int, enough: int, keep: Scratch) -> Solution:
+def _solved(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars: int, enough: int, keep: Scratch, second: bool) -> Solution:
     spark = weights.sparkSession
     named = keep(equations.select(F.concat_ws("|", "node_type", "node_id").alias("row"), "var_ord", F.col("coef").cast("long").alias("coef")))
     weights, ends = keep(weights.select("var_ord", F.col("weight").cast("double").alias("weight"))), keep(ends.select("var_ord", "coef"))
@@ -319,9 +349,65 @@ def _solved(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars:
         out.exact = sum(int(r["total"]) for r in solved.where((F.col("units") == 0) & ~here | (F.col("units") == 1) & here).select("total").collect())
         out.exact += sum((n << shift) // d * r["n"] for r in alone.groupBy("weight").agg(F.count("*").alias("n")).collect() for n, d in [r["weight"].as_integer_ratio()])
     out.total = out.exact / (1 << shift)
+    if second and search is None:
+        free = weights.join(bound, "var_ord", "left_anti")
+        _add_second(out, final, small, made, int(top["gain"]), alone, free, weights, keep)
+    elif second:
+        _search_second(out, weights, named, ends, max_vars)
     return out
 
 
+def _add_second(out: Solution, final: DataFrame, small, made: Arcs, end: int, alone: DataFrame, free: DataFrame, weights: DataFrame, keep: Scratch) -> None:
+    """The next best choice of a network: a variable in no equation turned over, or a cycle."""
+
+    def variables(arcs: DataFrame) -> DataFrame:
+        arcs = small.expanded(arcs, keep)
+        both = arcs.select(F.col("arc").alias("var_ord")).unionByName(made.kind.where("var_ord <> arc").join(arcs, "arc").select("var_ord"))
+        return keep(both.unionByName(alone.select("var_ord")))
+
+    first = variables(final.where("x").select("arc"))
+    if not first.exceptAll(out.chosen).unionByName(out.chosen.exceptAll(first)).isEmpty():
+        out.second, out.second_exact = cut(first), out.exact  # of two equal totals the other one
+        return
+    turns = final.groupBy("root").applyInPandas(lambda f: turn_arcs(f, end), "root long, loss string, arcs array<long>")
+    turns = keep(turns.withColumn("loss", F.col("loss").cast("decimal(38,0)")))
+    least = turns.orderBy("loss", "root").limit(1).collect()
+    single = free.select("var_ord", F.abs("weight").alias("loss")).orderBy("loss", "var_ord").limit(1).collect()
+    loss = [whole([r["loss"]]) for r in single]
+    loss = [x[0] << (out.shift - k) for x, k in loss]
+    if single and (not least or loss[0] <= int(least[0]["loss"])):
+        k = single[0]["var_ord"]
+        kept = out.chosen.where(F.col("var_ord") != k)
+        if kept.count() == out.chosen.count():
+            kept = kept.unionByName(out.chosen.sparkSession.createDataFrame([(k,)], out.chosen.schema))
+        out.second, out.second_exact = cut(kept), out.exact - loss[0]
+    elif least:
+        turned = turns.where(F.col("root") == least[0]["root"]).select(F.explode("arcs").alias("arc"), F.lit(True).alias("t"))
+        x = final.join(turned, "arc", "left").where(F.col("x") != F.coalesce("t", F.lit(False))).select("arc")
+        out.second, out.second_exact = cut(variables(x)), out.exact - int(least[0]["loss"])
+
+
+def _search_second(out: Solution, weights: DataFrame, named: DataFrame, ends: DataFrame, max_vars: int) -> None:
+    n = weights.count()
+    if n > max_vars:
+        raise ValueError(f"a program of {n} variables is no network and over the limit of {max_vars}")
+    order = sorted(r["var_ord"] for r in weights.select("var_ord").collect())  # max_vars at most
+    at = {v: k for k, v in enumerate(order)}
+    exact = [0] * n
+    for r in weights.collect():
+        over, under = r["weight"].as_integer_ratio()
+        exact[at[r["var_ord"]]] = (over << out.shift) // under
+    rows: dict[str, dict[int, int]] = {}
+    for r in named.collect():
+        rows.setdefault(r["row"], {})[at[r["var_ord"]]] = r["coef"]
+    sink = {at[r["var_ord"]]: r["coef"] for r in ends.collect()}
+    best = [at[r["var_ord"]] for r in out.chosen.collect()]
+    found = next_choice(exact, [*((c, 0) for c in rows.values()), (sink, 1)], best)
+    if found:
+        out.second_exact = found[0]
+        out.second = cut(weights.sparkSession.createDataFrame([(order[k],) for k in found[1]], "var_ord long"))
+
+
 def _rooted(arcs: DataFrame, n: int, enough: int, keep: Scratch) -> DataFrame:
     """arcs with the group that a task gets: all together while they are few, else by component."""
     if n <= enough:

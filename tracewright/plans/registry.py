@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_dir
+from ..functions.lineage import cut, delete, shared_dir
 from ..operators import drawing, model_graph, program, reach, solver, traverse
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
+from ..sources.buckets import BucketTable
 from ..sources.orders import build, duckdb_tables, state, tables
 from .api import Engine
 
@@ -35,7 +36,7 @@ def solution(spark: SparkSession, sf_dir: str) -> solver.Solution:
     key = state(spark, sf_dir)
     if key not in _SOLVED:
         _SOLVED.clear()
-        _SOLVED[key] = solver.solution(flow(spark, sf_dir).rows)
+        _SOLVED[key] = solver.solution(flow(spark, sf_dir).rows, second=True)
     return _SOLVED[key]
 
 
@@ -60,11 +61,17 @@ def _proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solver.certificate(solution(spark, sf_dir), program.objective(rows), program.constraints(rows), program.sink(rows))
 
 
-def _equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next best choice and its total."""
+    found = solution(spark, sf_dir)
+    return found.second.withColumn("total", F.lit(found.second_exact / (1 << found.shift)))
+
+
+def _equations(spark: SparkSession, sf_dir: str, choice=solved) -> DataFrame:
     """What every equation of the program comes to under the solution. SQL knows no solution, but
     what each equation must come to."""
     rows = flow(spark, sf_dir).rows
-    chosen = solved(spark, sf_dir).select("var_ord", F.lit(1).alias("x"))
+    chosen = choice(spark, sf_dir).select("var_ord", F.lit(1).alias("x"))
     one = rows.sparkSession.range(1).select(F.lit("sink").alias("node_id"), F.lit("").alias("node_type"))
     terms = program.constraints(rows).unionByName(program.sink(rows).crossJoin(one))  # one row
     return terms.join(chosen, "var_ord", "left").groupBy("node_id", "node_type").agg(F.sum(F.when(F.col("x") == 1, F.col("coef")).otherwise(0)).alias("value"))
@@ -119,7 +126,9 @@ def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = again["dsir_parent"].select(F.col("dsir_id").alias("record"), F.col("parent_id").alias("other"), "pos", F.lit("parent").alias("side"))
     children = again["dsir_child"].select(F.col("dsir_id").alias("record"), F.col("child_id").alias("other"), "pos", F.lit("child").alias("side"))
     members = again["dsar_dsir"].select(F.col("dsar_id").alias("record"), F.col("dsir_id").alias("other"), "pos", F.lit("member").alias("side"))
-    return runs.unionByName(parents).unionByName(children).unionByName(members)
+    found = cut(runs.unionByName(parents).unionByName(children).unionByName(members))
+    delete(spark, folder)
+    return found
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +140,33 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(rows, ["dsar_id"], "seq").select("dsar_id", "created_by", "model_type")
 
 
+def _stored_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node registry as a stored table: each stage upserts its edges' nodes, as the build goes."""
+    graph, path = flow(spark, sf_dir), f"{shared_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    table = BucketTable(spark, path, "node_id string, type string, node_type string, model_type string, seq long", ["node_id", "node_type"], 16)
+    for stage in (1, 2, 3):
+        end = lambda df, side, last: df.where(F.col("stage") == stage).select(F.col(side).alias("node_id"), F.col(f"{side}_kind").alias("type"), F.col(f"{side}_type").alias("node_type"), F.col(f"{side}_model").alias("model_type"), (F.col("edge_ord") * 2 + last).alias("seq"))
+        table.upsert(end(graph.rows, "src", 0).unionByName(end(graph.edges, "dst", 1)), "seq")
+    found = cut(table.read().drop("seq"))
+    delete(spark, path)
+    return found
+
+
+def _stored_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes' edge lists as stored tables: each stage pushes its edges' names."""
+    graph, path = flow(spark, sf_dir), f"{shared_dir(spark).rstrip('/')}/adjacency-{uuid.uuid4().hex}"
+    name, keys, lists = F.concat(F.lit("e"), F.col("edge_ord").cast("string")).alias("name"), ["node_id", "node_type"], []
+    for side, rows, column in (("src", graph.rows, "source_edge"), ("dst", graph.edges, "destination_edge")):
+        table = BucketTable(spark, f"{path}/{side}", f"node_id string, node_type string, {column} array<string>", keys, 16)
+        for stage in (1, 2, 3):
+            own = rows.where(F.col("stage") == stage).select(F.col(side).alias("node_id"), F.col(f"{side}_type").alias("node_type"), "edge_ord", name)
+            table.push(store.push(own, keys, "name", "edge_ord", column), column)
+        lists.append(table.read())
+    found = cut(lists[0].join(lists[1], keys, "full_outer").select(*keys, _joined(F.col("source_edge"), "source_edge"), _joined(F.col("destination_edge"), "destination_edge")))
+    delete(spark, path)
+    return found
+
+
 def _on_tables(of):
     return lambda spark, sf_dir: of(tables(spark, sf_dir))
 
@@ -182,13 +218,15 @@ def _adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries whose answer SQL cannot find. lp_certificate proves the choice that they share; tests hold
 #: the choice against plain search on small programs, and the others against the choice.
-NO_ORACLE = {"lp_optimum", "optimal_path", "service_answers", "viz_optimum"}
+NO_ORACLE = {"lp_optimum", "lp_second", "optimal_path", "service_answers", "viz_optimum"}
 
 QUERIES = {
     # sources
     "build_all": _built,
     "documents_normalised": _normalised,
     "store_writes": _written,
+    "store_registry": _stored_registry,
+    "store_adjacency": _stored_adjacency,
     "scan_all": _on_tables(lambda t: store.find(t["dsir"])),
     "scan_filtered": _on_tables(lambda t: store.find(t["dsar"], {"created_by": "PostSynchronizationManager"}, ["dsar_id", "model_type"])),
     "scan_first_match": _on_tables(lambda t: store.find_first(t["dsir_parent"], ["dsir_id"], ["pos"])),
@@ -237,6 +275,8 @@ QUERIES = {
     "lp_optimum": solved,
     "lp_optimum_equations": _equations,
     "lp_certificate": _proof,
+    "lp_second": _second,
+    "lp_second_equations": lambda spark, sf_dir: _equations(spark, sf_dir, _second),
     "optimal_path_dsirs": _path,
     "optimal_path": _optimal,
     # drawing
@@ -359,7 +399,18 @@ _COMMON = [{10: 1, 11: 1, 0: -2}, {0: 1, 1: 1, 5: -2, 6: -2}, {2: 1, 7: -1}, {4:
 _EXACT = [{3: 1, 8: -1}, {6: 1, 13: -1}, {9: 1, 11: -1}]
 _FIRST = [{3: 1, 7: -1}, {6: 1, 12: -1}, {9: 1, 10: -1}]
 
+_NODES = _sql(
+    "SELECT node_id, arg_max(kind, seq) AS type, node_type, arg_max(model, seq) AS model_type FROM (SELECT src AS node_id, src_type AS node_type, src_kind AS kind, src_model AS model, edge_ord * 2 AS seq FROM inc UNION ALL SELECT dst, dst_type, dst_kind, dst_model, edge_ord * 2 + 1 FROM edge) GROUP BY node_id, node_type",
+    _FG,
+)
+_LISTS = _sql(
+    "SELECT node_id, node_type, coalesce(string_agg(concat('e', o), ',' ORDER BY o) FILTER (side = 0), '') AS source_edge, coalesce(string_agg(concat('e', o), ',' ORDER BY o) FILTER (side = 1), '') AS destination_edge FROM (SELECT src AS node_id, src_type AS node_type, edge_ord AS o, 0 AS side FROM inc UNION ALL SELECT dst, dst_type, edge_ord, 1 FROM edge) GROUP BY node_id, node_type",
+    _FG,
+)
+
 ORACLES = {
+    "store_registry": _NODES,
+    "store_adjacency": _LISTS,
     "build_all": _sql(
         " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {cte}" for name, cte in (*((t, t) for t in ("dsir", "dsir_parent", "dsir_child", "dsar", "dsar_dsir", "job", "job_dsar")), ("hyperedges", "edge"), ("variables", "inc"))), _FG
     ),
@@ -397,14 +448,8 @@ ORACLES = {
     "fg_cluster_to_model": _sql(_STAGE + "s4", _FG),
     "fg_edges": _sql("SELECT dst, dst_type, edge_type, n_sources, weight FROM hyper", _FG),
     "fg_edge_names": _sql("SELECT concat('e', edge_ord) AS edge_name, dst, dst_type, edge_type, n_sources FROM edge", _FG),
-    "fg_nodes": _sql(
-        "SELECT node_id, arg_max(kind, seq) AS type, node_type, arg_max(model, seq) AS model_type FROM (SELECT src AS node_id, src_type AS node_type, src_kind AS kind, src_model AS model, edge_ord * 2 AS seq FROM inc UNION ALL SELECT dst, dst_type, dst_kind, dst_model, edge_ord * 2 + 1 FROM edge) GROUP BY node_id, node_type",
-        _FG,
-    ),
-    "fg_adjacency": _sql(
-        "SELECT node_id, node_type, coalesce(string_agg(concat('e', o), ',' ORDER BY o) FILTER (side = 0), '') AS source_edge, coalesce(string_agg(concat('e', o), ',' ORDER BY o) FILTER (side = 1), '') AS destination_edge FROM (SELECT src AS node_id, src_type AS node_type, edge_ord AS o, 0 AS side FROM inc UNION ALL SELECT dst, dst_type, edge_ord, 1 FROM edge) GROUP BY node_id, node_type",
-        _FG,
-    ),
+    "fg_nodes": _NODES,
+    "fg_adjacency": _LISTS,
     "fg_node_degree": _sql(
         "SELECT node_id, node_type, count(*) FILTER (side = 0) AS n_out, count(*) FILTER (side = 1) AS n_in FROM (SELECT src AS node_id, src_type AS node_type, 0 AS side FROM inc UNION ALL SELECT dst, dst_type, 1 FROM edge) GROUP BY node_id, node_type",
         _FG,
@@ -432,6 +477,7 @@ ORACLES = {
     "lp_sink": _sql("SELECT var_ord, coef FROM snk", _FG, _LP),
     "lp_objective": _sql("SELECT var_ord, weight FROM inc", _FG),
     "lp_optimum_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cex UNION ALL SELECT 'sink', '', 1", _FG, _LP),
+    "lp_second_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cex UNION ALL SELECT 'sink', '', 1", _FG, _LP),
     "lp_certificate": _sql("SELECT var_ord, 0.0::DOUBLE AS violation, 0.0::DOUBLE AS gap FROM inc", _FG),
     "service_model_graph": _sql(
         """SELECT concat('{"name":"', k.model_type, '","periods":[{"id":"', k.dsir_id, '","start":', k.t_begin, ',"end":', k.t_end, ',"connector":[', coalesce(l.c, ''), ']}]}') AS json FROM kept k LEFT JOIN (SELECT dsir_id, string_agg(concat('{"connectTo":"', connect_to, '","connectorType":"start-finish"}'), ',' ORDER BY pos1, pos2, pos3, connect_to) AS c FROM mg GROUP BY dsir_id) l ON l.dsir_id = k.dsir_id""",
