@@ -106,6 +106,15 @@ def test_paths_are_counted_as_a_walk_meets_them(spark):
     assert rows(traverse.backward_paths(small, "M", "model"), "node_id", "node_type", "n_paths") == sorted((*k, n) for k, n in met.items())
     assert len(rows(traverse.model_timeline(small, "M", as_shipped=True), "node_id")) == sum(n for (_, kind), n in met.items() if kind == "model")
     assert rows(traverse.backward_paths(small, "absent", "model"), "node_id", "n_paths") == [("absent", 1)]
+    ordered = {}
+    for r in small.orderBy("var_ord").collect():
+        ordered.setdefault((r["dst"], r["dst_type"]), []).append((r["src"], r["src_type"]))
+    sources = ordered
+    assert rows(traverse.backward_walk(small, "M", "model"), "ordinal", "node_id", "node_type") == [(k, *x) for k, x in enumerate(walk(("M", "model")))]
+    assert rows(traverse.backward_walk(small, "absent", "model"), "ordinal", "node_id") == [(0, "absent")]
+    ring = spark.createDataFrame(mini.incidences([("AND", ["A"], "S", "am", [0.5]), ("OR", ["S"], "J", "job", [1.0]), ("OR", ["J"], "C", "cluster_aggr", [1.0]), ("AND", ["C"], "A", "model", [1.0])]), mini.SCHEMA)
+    with pytest.raises(ValueError, match="cycle"):
+        traverse.backward_walk(ring, "J", "job")
 
 
 def test_dangling_references_are_reported(spark):

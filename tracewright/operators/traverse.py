@@ -8,10 +8,12 @@ shared folder, so the work does not grow with the number of paths to a node.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import Scratch, cut
 
 NODE = ["node_id", "node_type"]
 
@@ -106,3 +108,41 @@ def model_timeline(rows: DataFrame, node_id: str, node_type: str = "model", as_s
     dealt = behind.select(F.col("n_paths").cast("long").alias("n")).selectExpr("n", "explode(sequence(0L, (n - 1) div 1000)) AS part").selectExpr("explode(sequence(1L, least(1000L, n - part * 1000))) AS k")
     ahead = forward(rows, node_id, node_type).where("node_type = 'model'")
     return dealt.select(F.lit(node_id).alias("node_id")).unionByName(ahead.select(F.lit(node_id).alias("node_id")))
+
+
+def backward_walk(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000) -> DataFrame:
+    """(ordinal, node_id, node_type): the walk back from a node in order, as one meets the nodes who
+    goes to each source in turn (edges in build order, sources by position), back from it first, and
+    keeps no note of where they were. A node's rows are as many as its paths (``backward_paths``).
+
+    Nobody walks: the part of the walk below a node is as long whichever way led there, so a source
+    stands a fixed way after its destination, by running sums over the parts before it. Sizes are
+    added up from the ends, then places are handed down a step at a time. Cycles raise."""
+    up = rows.select(F.col("dst").alias("node_id"), F.col("dst_type").alias("node_type"), F.col("src").alias("src"), "src_type", "var_ord")
+    with Scratch(rows.sparkSession) as keep:
+        here = keep(backward(rows, node_id, node_type, max_rounds).select(*NODE))
+        steps = keep(up.join(here, NODE))
+        sized = keep(here.join(steps.select(*NODE).distinct(), NODE, "left_anti").withColumn("size", F.lit(1).cast("long")))
+        left = keep(here.join(sized, NODE, "left_anti"))
+        source = sized.columns
+        for _ in range(max_rounds):
+            if left.isEmpty():
+                break
+            under = steps.join(left, NODE, "left_semi").join(sized.toDF("src", "src_type", "below"), ["src", "src_type"], "left")
+            ready = under.groupBy(*NODE).agg(F.count(F.when(F.col("below").isNull(), 1)).alias("open"), (F.sum("below") + 1).alias("size")).where("open = 0")
+            ready = keep(ready.select(*source))
+            if ready.isEmpty():
+                raise ValueError("the walk does not end: there is a cycle")
+            sized, left = keep(sized.unionByName(ready)), keep(left.join(ready, NODE, "left_anti"))
+        # the places of a destination's sources after it
+        sizes = steps.join(sized.toDF("src", "src_type", "below"), ["src", "src_type"])
+        before = Window.partitionBy(*NODE).orderBy("var_ord").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = keep(sizes.select(*NODE, "src", "src_type", (F.coalesce(F.sum("below").over(before), F.lit(0)) + 1).alias("after")))
+        last = keep(_start(rows, node_id, node_type).withColumn("ordinal", F.lit(0).cast("long")))
+        found = [last]
+        for _ in range(max_rounds):
+            last = keep(last.join(offsets, NODE).select(F.col("src").alias("node_id"), F.col("src_type").alias("node_type"), (F.col("ordinal") + F.col("after")).alias("ordinal")))
+            if last.isEmpty():
+                break
+            found.append(last)
+        return cut(reduce(DataFrame.unionByName, found).select("ordinal", *NODE))

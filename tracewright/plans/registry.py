@@ -17,6 +17,7 @@ from ..sources.orders import build, duckdb_tables, state, tables
 from .api import Engine
 
 BACK, AHEAD, MIDDLE, EARLY = "M5-2001", "M1-1995", "M3-1998", "M3-1996"
+GROUP = ("S3-1996-3", "am")
 _FLOWS: dict = {}
 _SOLVED: dict = {}
 _TIMELINES: dict = {}
@@ -261,6 +262,7 @@ QUERIES = {
     "timeline_walk": _on_rows(lambda r: traverse.timeline(r, EARLY).select("node_id", "node_type", "direction")),
     "timeline_models_as_shipped": _on_rows(lambda r: traverse.model_timeline(r, EARLY, as_shipped=True)),
     "timeline_paths": _on_rows(lambda r: traverse.backward_paths(r, BACK, "model").select("node_id", "node_type", F.col("n_paths").cast("string").alias("n_paths"))),
+    "timeline_order": _on_rows(lambda r: traverse.backward_walk(r, *GROUP)),
     # selection program
     "lp_vars": _on_rows(lambda r: program.variables(r).select("var_name", "dst", "dst_type", "src", "src_type", "pos", "weight")),
     "lp_bk": _on_rows(program.incoming_sums),
@@ -466,6 +468,11 @@ ORACLES = {
         _paths(EARLY, "q", 40), _reach(EARLY, "ahead", "r"),
     ),
     "timeline_paths": _recursive("SELECT node_id, node_type, n::VARCHAR AS n_paths FROM q", _paths(BACK, "q", 40)),
+    # a walk's order is that of its paths' variables, a path before those that go on from it
+    "timeline_order": _recursive(
+        "SELECT row_number() OVER (ORDER BY path) - 1 AS ordinal, node_id, node_type FROM w",
+        f"w AS (SELECT '{GROUP[0]}' AS node_id, '{GROUP[1]}' AS node_type, []::BIGINT[] AS path UNION ALL SELECT i.src, i.src_type, list_append(w.path, i.var_ord) FROM w JOIN inc i ON i.dst = w.node_id AND i.dst_type = w.node_type)",
+    ),
     "lp_vars": _sql("SELECT concat('e', var_ord) AS var_name, dst, dst_type, src, src_type, pos, weight FROM inc", _FG),
     "lp_bk": _sql("SELECT node_id, node_type, nb, bt FROM bk", _FG, _LP),
     "lp_fr": _sql("SELECT node_id, node_type, nf, ft FROM fr", _FG, _LP),
