@@ -463,6 +463,8 @@ def _told_apart(arcs: DataFrame, prices: DataFrame, enough: int, keep: Scratch,
     tied = keep(tied.withColumns({"a": F.when(F.col("x"), F.col("head")).otherwise(F.col("tail")), "b": F.when(F.col("x"), F.col("tail")).otherwise(F.col("head"))}))
     n = tied.count()
     for _ in range(max_rounds):
+        if n <= enough:
+            break
         left = keep(tied.join(tied.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(tied.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
         before, n, tied = n, left.count(), left
         if n == before:
