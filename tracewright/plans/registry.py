@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, delete, shared_dir
-from ..operators import drawing, model_graph, program, reach, solver, traverse
+from ..operators import delta, drawing, model_graph, program, reach, solver, traverse
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
 from ..sources.buckets import BucketTable
+from ..sources.indexed import OWNER
 from ..sources.orders import build, duckdb_tables, state, tables
 from .api import Engine
 
@@ -21,6 +22,7 @@ GROUP = ("S3-1996-3", "am")
 _FLOWS: dict = {}
 _SOLVED: dict = {}
 _TIMELINES: dict = {}
+_GROWN: dict = {}
 
 
 def flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
@@ -168,6 +170,44 @@ def _stored_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def last_window(t: documents.Tables) -> tuple[documents.Tables, documents.Tables]:
+    """(before, change): the tables as they were before the records of the last window came, and all
+    rows of the documents that came with them or that they changed: a record gains children when a
+    later one takes it as a parent."""
+    end = t["dsir"].agg(F.max("t_begin").alias("end"))
+    late = cut(t["dsir"].join(F.broadcast(end), F.col("t_begin") == F.col("end")).select(F.col("dsir_id").alias("id")))  # end is one row
+    names = lambda df, column: df.select(F.col(column).alias("id")).distinct()
+    groups = names(t["dsar_dsir"].join(late.withColumnRenamed("id", "dsir_id"), "dsir_id", "left_semi"), "dsar_id")
+    jobs = names(t["job"].join(late.withColumnRenamed("id", "output_dsir"), "output_dsir", "left_semi"), "job_id")
+    parents = names(t["dsir_child"].join(late.withColumnRenamed("id", "child_id"), "child_id", "left_semi"), "dsir_id")
+    new = {"dsir_id": late, "dsar_id": cut(groups), "job_id": cut(jobs)}
+    changed = new | {"dsir_id": cut(late.unionByName(parents).distinct())}
+    within = lambda df, ids, column, how: df.join(ids[column].withColumnRenamed("id", column), column, how)
+    before = {name: within(df, new, OWNER[name], "left_anti").select(*df.columns) for name, df in t.items()}
+    before["dsir_child"] = before["dsir_child"].join(late.withColumnRenamed("id", "child_id"), "child_id", "left_anti").select("dsir_id", "pos", "child_id")
+    return before, {name: within(df, changed, OWNER[name], "left_semi").select(*df.columns) for name, df in t.items()}
+
+
+def grown(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Both graphs of a folder, stored as of the last window but one and brought up to date by the
+    change that followed; once for a session and a state of the folder's files."""
+    key = state(spark, sf_dir)
+    if key not in _GROWN:
+        _GROWN.clear()
+        path = f"{shared_dir(spark).rstrip('/')}/graphs-{uuid.uuid4().hex}"
+        before, change = last_window(tables(spark, sf_dir))
+        graphs = delta.StoredGraphs(spark, path, 16)
+        graphs.build(before)
+        graphs.change(change)
+        _GROWN[key] = {name: cut(table.read()) for name, table in (("rows", graphs.rows), ("edges", graphs.edges), ("nodes", graphs.nodes), ("links", graphs.links))}
+        delete(spark, path)
+    return _GROWN[key]
+
+
+def _grown(name: str, *columns: str):
+    return lambda spark, sf_dir: grown(spark, sf_dir)[name].select(*columns)
+
+
 def _on_tables(of):
     return lambda spark, sf_dir: of(tables(spark, sf_dir))
 
@@ -252,6 +292,11 @@ QUERIES = {
     "fg_nodes": lambda spark, sf_dir: flow(spark, sf_dir).nodes(),
     "fg_adjacency": _adjacency,
     "fg_node_degree": lambda spark, sf_dir: flow(spark, sf_dir).degrees(),
+    # both graphs after a change, kept up and not built anew
+    "delta_incidences": _grown("rows", "stage", "dst", "dst_type", "dst_model", "edge_type", "src", "src_type", "src_model", "pos", "weight"),
+    "delta_hyperedges": _grown("edges", "stage", "key", "kind", "nth", "dst", "dst_type", "edge_type", "n_sources", "weight"),
+    "delta_nodes": _grown("nodes", "dsir_id", "name", "t_begin", "t_end"),
+    "delta_connectors": _grown("links", "dsir_id", "connect_to", "pos1", "pos2", "pos3"),
     # traversal
     "timeline_sizes": lambda spark, sf_dir: timelines(spark, sf_dir).sizes(),
     "timeline_all_models": lambda spark, sf_dir: timelines(spark, sf_dir).models,
@@ -456,6 +501,10 @@ ORACLES = {
         "SELECT node_id, node_type, count(*) FILTER (side = 0) AS n_out, count(*) FILTER (side = 1) AS n_in FROM (SELECT src AS node_id, src_type AS node_type, 0 AS side FROM inc UNION ALL SELECT dst, dst_type, 1 FROM edge) GROUP BY node_id, node_type",
         _FG,
     ),
+    "delta_incidences": _sql("SELECT stage, dst, dst_type, dst_model, edge_type, src, src_type, src_model, pos, weight FROM raw", _FG),
+    "delta_hyperedges": _sql("SELECT stage, key, kind, nth, dst, dst_type, edge_type, n_sources, weight FROM hyper", _FG),
+    "delta_nodes": _sql("SELECT dsir_id, model_type AS name, t_begin, t_end FROM kept", _MG),
+    "delta_connectors": _sql("SELECT * FROM mg", _MG),
     "timeline_backward": _recursive("SELECT node_id, node_type FROM r", _reach(BACK, "behind", "r")),
     "timeline_forward": _recursive("SELECT node_id, node_type FROM r WHERE node_type <> '#'", _reach(AHEAD, "ahead", "r")),
     "timeline_sizes": _recursive(f"SELECT start, direction, count(*) AS n_nodes FROM {_EVERY_BOTH} GROUP BY ALL UNION ALL SELECT start, 'backward', 0 FROM rb GROUP BY start HAVING count(*) = 1", *_EVERY),

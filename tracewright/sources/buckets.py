@@ -108,7 +108,8 @@ class BucketTable:
     def _write(self, rows: DataFrame) -> dict[int, str]:
         """Writes rows by bucket; the new folder of each bucket that has some."""
         name = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+        # rebalanced, not repartitioned: a bucket with a hot key is divided among tasks and has several files
+        rows.withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
         found = [f.getPath().getName() for f in self._fs.listStatus(self._at(name)) if f.isDirectory()]
         return {int(f.partition("=")[2]): f"{name}/{f}" for f in found}
 
@@ -151,6 +152,15 @@ class BucketTable:
 
         return self._merge(wanted, changed)
 
+    def replace(self, gone: DataFrame, rows: DataFrame, on: list[str] | None = None) -> int:
+        """Takes out the rows that agree with one of gone in the columns ``on`` (the keys, or the keys
+        and more) and adds rows, in one snapshot. Touches the buckets of gone and rows only; both are
+        read several times and should be cut."""
+        on = on or self.keys
+        out = gone.select(*on).distinct()
+        where = out.select(*self.keys).unionByName(rows.select(*self.keys))
+        return self._merge(where, lambda old, _: old.join(out, on, "left_anti").unionByName(rows.select(*self._columns())))
+
     def truncate(self) -> int:
         """A snapshot without rows; earlier ones can still be read by number."""
         return self._commit(lambda _: {})
