@@ -13,6 +13,7 @@ from ..operators import delta, drawing, model_graph, program, reach, solver, tra
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
 from ..sources.buckets import BucketTable
+from ..sources.by_node import ByNode
 from ..sources.indexed import OWNER
 from ..sources.orders import build, duckdb_tables, state, tables
 from .api import Engine
@@ -170,6 +171,16 @@ def _stored_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def _by_node(of):
+    """What incidences stored by node say."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with ByNode(flow(spark, sf_dir).rows) as stored:
+            return cut(of(stored))
+
+    return query
+
+
 def last_window(t: documents.Tables) -> tuple[documents.Tables, documents.Tables]:
     """(before, change): the tables as they were before the records of the last window came, and all
     rows of the documents that came with them or that they changed: a record gains children when a
@@ -292,6 +303,11 @@ QUERIES = {
     "fg_nodes": lambda spark, sf_dir: flow(spark, sf_dir).nodes(),
     "fg_adjacency": _adjacency,
     "fg_node_degree": lambda spark, sf_dir: flow(spark, sf_dir).degrees(),
+    # incidences stored by node
+    "by_node_bk": _by_node(lambda b: b.incoming_sums()),
+    "by_node_fr": _by_node(lambda b: b.outgoing_sums()),
+    "by_node_constraints": _by_node(lambda b: b.constraints()),
+    "by_node_member": _by_node(lambda b: b.found("S0", "am", "src").select("edge_ord", "dst")),
     # both graphs after a change, kept up and not built anew
     "delta_incidences": _grown("rows", "stage", "dst", "dst_type", "dst_model", "edge_type", "src", "src_type", "src_model", "pos", "weight"),
     "delta_hyperedges": _grown("edges", "stage", "key", "kind", "nth", "dst", "dst_type", "edge_type", "n_sources", "weight"),
@@ -501,6 +517,10 @@ ORACLES = {
         "SELECT node_id, node_type, count(*) FILTER (side = 0) AS n_out, count(*) FILTER (side = 1) AS n_in FROM (SELECT src AS node_id, src_type AS node_type, 0 AS side FROM inc UNION ALL SELECT dst, dst_type, 1 FROM edge) GROUP BY node_id, node_type",
         _FG,
     ),
+    "by_node_bk": _sql("SELECT node_id, node_type, nb, bt FROM bk", _FG, _LP),
+    "by_node_fr": _sql("SELECT node_id, node_type, nf, ft FROM fr", _FG, _LP),
+    "by_node_constraints": _sql("SELECT * FROM cex", _FG, _LP),
+    "by_node_member": _sql("SELECT edge_ord, dst FROM inc WHERE src = 'S0' AND src_type = 'am'", _FG),
     "delta_incidences": _sql("SELECT stage, dst, dst_type, dst_model, edge_type, src, src_type, src_model, pos, weight FROM raw", _FG),
     "delta_hyperedges": _sql("SELECT stage, key, kind, nth, dst, dst_type, edge_type, n_sources, weight FROM hyper", _FG),
     "delta_nodes": _sql("SELECT dsir_id, model_type AS name, t_begin, t_end FROM kept", _MG),
