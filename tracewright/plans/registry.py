@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, delete, shared_dir
+from ..functions.lineage import Scratch, cut, delete, shared_dir
 from ..operators import delta, drawing, model_graph, program, reach, solver, traverse
 from ..operators.flow_graph import FlowGraph, am_to_job, cluster_to_model, hyperedges, job_to_cluster, model_to_am
 from ..sources import documents, mini, store
@@ -208,7 +208,8 @@ def grown(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         path = f"{shared_dir(spark).rstrip('/')}/graphs-{uuid.uuid4().hex}"
         before, change = last_window(tables(spark, sf_dir))
         graphs = delta.StoredGraphs(spark, path, 16)
-        graphs.build(before)
+        with Scratch(spark) as keep:
+            graphs.build({name: keep(df) for name, df in before.items()})
         graphs.change(change)
         _GROWN[key] = {name: cut(table.read()) for name, table in (("rows", graphs.rows), ("edges", graphs.edges), ("nodes", graphs.nodes), ("links", graphs.links))}
         delete(spark, path)

@@ -31,9 +31,10 @@ def ids(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("id"))
 
 
-def at_once(work: list[Callable[[], object]], most: int = 6) -> None:
+def at_once(work: list[Callable[[], object]], most: int = 3) -> None:
     """Runs writes that do not depend on each other side by side: each alone is too small to fill a
-    cluster when a change is. The first error is raised when all have ended."""
+    cluster when a change is. Few at a time, for the driver holds the plans of all that run. The first
+    error is raised when all have ended."""
     with ThreadPoolExecutor(most) as pool:
         for done in [pool.submit(w) for w in work]:
             done.result()
