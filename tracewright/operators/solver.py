@@ -4,10 +4,13 @@ Variables in no equation are chosen where they gain. The others are arcs of a ne
 equations are the balance of one, which those of flow graphs with equal fan-in and fan-out are. The
 network is contracted as a table (``contract``) until at most ``enough`` arcs are left, or no more go;
 a task then gets what is left, by component if it is more. Components with an equation that is no
-balance are solved as a whole by depth-first branch and bound with propagation of the equations, up
-to ``max_vars`` variables, and refused beyond rather than answered without proof. Nothing at all is
+balance are solved as a whole: small ones by depth-first branch and bound with propagation of the
+equations, larger ones are made small as tables (``presolve``), and a task then takes what is left,
+component by component, keeping the best choice for each state of the rows begun. What is left is
+refused beyond ``max_vars`` variables, rather than answered without proof. Nothing at all is
 feasible, so a component is solved for 0 and for 1 unit into the sink, and the one unit goes where it
-gains most. Among equal totals the lexicographically smallest list of chosen variables wins.
+gains most. Among equal totals the lexicographically smallest list of chosen variables wins, but for
+larger components that are no network: they take one of the best, the same in every run.
 
 Weights are doubles, taken as whole numbers times a power of two, so totals are exact for any
 weights. A network's solution comes with node prices that prove it (``certificate``).
@@ -30,6 +33,10 @@ from . import network, program
 from .components import components
 from .contract import END, IN, OUT, Arcs, built, contracted, merged
 from .network import heaviest, whole
+from .presolve import Reduced, frontier, reduced
+
+#: Components of more variables than this that are no network are made small first.
+SEARCHED = 64
 
 
 def _search(weights: list, rows: list[tuple[dict[int, int], int]], nodes_left: int = 5_000_000) -> tuple[float, list[int]] | None:
@@ -307,7 +314,16 @@ def _solved(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars:
         grouped = keep(_rooted(small.arcs, small.n, enough, keep))
         most = grouped.groupBy("root").count().agg(F.max("count")).first()[0] or 0
         candidates.append(grouped.groupBy("root").applyInPandas(solve_arcs, "root long, units int, total string, chosen array<long>").withColumn("by", F.lit("arcs")))
+    core = None
     if search is not None:
+        search = keep(_with_roots(search, named))
+        large = keep(search.groupBy("root").count().where(F.col("count") > SEARCHED).select("root"))
+        if room * 8 * _most_coef(named) < 10**38 and not large.isEmpty():  # sums of moved weights stay below
+            within = keep(search.join(large, "root", "left_semi").select("var_ord", _scaled(shift)("weight").alias("w")))
+            inside = lambda df: keep(df.join(within.select("var_ord"), "var_ord", "left_semi"))
+            core = reduced(within, inside(named.select("row", "var_ord", "coef")), inside(ends.select("var_ord", F.col("coef").cast("long").alias("coef"))), keep)
+            candidates.append(_core_components(core, max_vars, keep).withColumn("by", F.lit("core")))
+            search = keep(search.join(large, "root", "left_anti"))
         candidates.append(_by_component(search, named, ends, max_vars, shift).withColumn("by", F.lit("search")))
     solved = keep(reduce(DataFrame.unionByName, candidates).withColumn("total", F.col("total").cast("decimal(38,0)") if room < 10**38 else F.col("total")))
     none, one = solved.where("units = 0"), solved.where("units = 1").select("by", "root", F.col("total").alias("with_one"), F.col("chosen").alias("chosen_one"))
@@ -323,6 +339,8 @@ def _solved(weights: DataFrame, equations: DataFrame, ends: DataFrame, max_vars:
     here = (F.col("by") == top["by"]) & (F.col("root") == top["root"])
     picked = keep(none.where(~here).select("by", "chosen").unionByName(one.where(here).select("by", F.col("chosen_one").alias("chosen"))).select("by", F.explode("chosen").alias("arc")))
     chosen = picked.where("by = 'search'").select(F.col("arc").alias("var_ord")).unionByName(alone.select("var_ord"))
+    if core is not None:
+        chosen = chosen.unionByName(core.expanded(keep(picked.where("by = 'core'").select(F.col("arc").alias("var_ord"))), keep))
     out = Solution(chosen, 0.0, 0, shift)
     if net is not None:
         end = int(top["gain"])
@@ -434,10 +452,59 @@ def _odd_components(held: DataFrame, named: DataFrame, made: Arcs, keep: Scratch
     return held.join(roots.join(roots.join(odd, "var_ord").select("root").distinct(), "root", "left_semi"), "var_ord")
 
 
+def _with_roots(weights: DataFrame, named: DataFrame) -> DataFrame:
+    """weights(var_ord, weight[, root]) with the root of each component."""
+    if "root" in weights.columns:
+        return weights
+    return weights.join(components(weights.select(F.col("var_ord").alias("node")), _linked(named)).toDF("var_ord", "root"), "var_ord")
+
+
+def _most_coef(named: DataFrame) -> int:
+    """The largest coefficient."""
+    return int(named.agg(F.max(F.abs("coef"))).first()[0] or 1)
+
+
+def solve_core(frame: pd.DataFrame, max_vars: int) -> pd.DataFrame:
+    """frame: (root, kind, row, var_ord, coef, w, lo, hi), kinds as in solve_component, to (root, units,
+    total, chosen)."""
+    weights = frame[frame.kind == "w"].sort_values("var_ord")
+    order = weights.var_ord.tolist()
+    if len(order) > max_vars:
+        raise ValueError(f"a component of which {len(order)} variables are left is no network and over the limit of {max_vars}")
+    at = {v: k for k, v in enumerate(order)}
+    rows: dict[str, tuple[dict[int, int], int, int]] = {}
+    held = frame[frame.kind == "c"]
+    for row, v, c, lo, hi in zip(held["row"].tolist(), held.var_ord.tolist(), held.coef.tolist(), held.lo.tolist(), held.hi.tolist(), strict=True):
+        rows.setdefault(row, ({}, int(lo), int(hi)))[0][at[v]] = int(c)
+    ends = frame[frame.kind == "s"]
+    sink = {at[v]: int(c) for v, c in zip(ends.var_ord, ends.coef, strict=True)}
+    out, values = [], [int(w) for w in weights.w.tolist()]
+    for units in (0, 1) if sink else (0,):
+        found = frontier(values, [*rows.values(), *([(sink, units, units)] if sink else [])])
+        if found:
+            out.append((frame.root.iloc[0], units, str(found[0]), [order[k] for k in found[1]]))
+    return pd.DataFrame(out, columns=["root", "units", "total", "chosen"], dtype=object)
+
+
+def _core_components(core: Reduced, max_vars: int, keep: Scratch) -> DataFrame:
+    """What presolve left, each component in a task. A variable that no row and no sink holds is a
+    component of its own, decided without one."""
+    tied = keep(core.terms.select("var_ord").unionByName(core.ends.select("var_ord")).distinct())
+    free = core.weights.join(tied, "var_ord", "left_anti").where("w > 0")
+    single = free.select(F.col("var_ord").alias("root"), F.lit(0).alias("units"), F.col("w").cast("string").alias("total"), F.array("var_ord").alias("chosen"))
+    weights = keep(core.weights.join(tied, "var_ord", "left_semi"))
+    roots = keep(components(weights.select(F.col("var_ord").alias("node")), _linked(core.terms)).toDF("var_ord", "root"))
+    nothing, none = F.lit(None), lambda *names: [F.lit(None).cast("long").alias(x) for x in names]
+    parts = (
+        weights.select(F.lit("w").alias("kind"), nothing.cast("string").alias("row"), "var_ord", *none("coef", "lo", "hi"), F.col("w").cast("string").alias("w"))
+        .unionByName(core.terms.join(core.bounds, "row").select(F.lit("c").alias("kind"), "row", "var_ord", "coef", "lo", "hi", nothing.cast("string").alias("w")))
+        .unionByName(core.ends.select(F.lit("s").alias("kind"), nothing.cast("string").alias("row"), "var_ord", "coef", *none("lo", "hi"), nothing.cast("string").alias("w")))
+    )
+    return parts.join(roots, "var_ord").groupBy("root").applyInPandas(lambda f: solve_core(f, max_vars), "root long, units int, total string, chosen array<long>").unionByName(single)
+
+
 def _by_component(weights: DataFrame, named: DataFrame, ends: DataFrame, max_vars: int, shift: int) -> DataFrame:
-    """The programs of weights(var_ord, weight[, root]), each component in a task."""
-    if "root" not in weights.columns:
-        weights = weights.join(components(weights.select(F.col("var_ord").alias("node")), _linked(named)).toDF("var_ord", "root"), "var_ord")
+    """The programs of weights(var_ord, weight, root), each component in a task."""
     roots, nothing = weights.select("var_ord", "root"), F.lit(None)
     parts = (
         weights.select(F.lit("w").alias("kind"), nothing.cast("string").alias("row"), "var_ord", nothing.cast("long").alias("coef"), "weight")

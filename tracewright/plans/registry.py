@@ -22,6 +22,7 @@ BACK, AHEAD, MIDDLE, EARLY = "M5-2001", "M1-1995", "M3-1998", "M3-1996"
 GROUP = ("S3-1996-3", "am")
 _FLOWS: dict = {}
 _SOLVED: dict = {}
+_FIRST_SOLVED: dict = {}
 _TIMELINES: dict = {}
 _GROWN: dict = {}
 
@@ -49,6 +50,16 @@ def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.chosen.withColumn("total", F.lit(found.total))
 
 
+def solved_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solution with each edge's first variable in a node's outgoing sum, which is no network."""
+    key = state(spark, sf_dir)
+    if key not in _FIRST_SOLVED:
+        _FIRST_SOLVED.clear()
+        _FIRST_SOLVED[key] = solver.solution(flow(spark, sf_dir).rows, "first")
+    found = _FIRST_SOLVED[key]
+    return found.chosen.withColumn("total", F.lit(found.total))
+
+
 def timelines(spark: SparkSession, sf_dir: str) -> reach.Timelines:
     """The index of timelines, built once for a session and a state of the folder's files."""
     key = state(spark, sf_dir)
@@ -71,13 +82,13 @@ def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.second.withColumn("total", F.lit(found.second_exact / (1 << found.shift)))
 
 
-def _equations(spark: SparkSession, sf_dir: str, choice=solved) -> DataFrame:
+def _equations(spark: SparkSession, sf_dir: str, choice=solved, position: str = "exact") -> DataFrame:
     """What every equation of the program comes to under the solution. SQL knows no solution, but
     what each equation must come to."""
     rows = flow(spark, sf_dir).rows
     chosen = choice(spark, sf_dir).select("var_ord", F.lit(1).alias("x"))
     one = rows.sparkSession.range(1).select(F.lit("sink").alias("node_id"), F.lit("").alias("node_type"))
-    terms = program.constraints(rows).unionByName(program.sink(rows).crossJoin(one))  # one row
+    terms = program.constraints(rows, position).unionByName(program.sink(rows).crossJoin(one))  # one row
     return terms.join(chosen, "var_ord", "left").groupBy("node_id", "node_type").agg(F.sum(F.when(F.col("x") == 1, F.col("coef")).otherwise(0)).alias("value"))
 
 
@@ -271,7 +282,7 @@ def _adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries whose answer SQL cannot find. lp_certificate proves the choice that they share; tests hold
 #: the choice against plain search on small programs, and the others against the choice.
-NO_ORACLE = {"lp_optimum", "lp_second", "optimal_path", "service_answers", "viz_optimum"}
+NO_ORACLE = {"lp_first_optimum", "lp_optimum", "lp_second", "optimal_path", "service_answers", "viz_optimum"}
 
 QUERIES = {
     # sources
@@ -341,6 +352,8 @@ QUERIES = {
     "lp_certificate": _proof,
     "lp_second": _second,
     "lp_second_equations": lambda spark, sf_dir: _equations(spark, sf_dir, _second),
+    "lp_first_optimum": solved_first,
+    "lp_first_equations": lambda spark, sf_dir: _equations(spark, sf_dir, solved_first, "first"),
     "optimal_path_dsirs": _path,
     "optimal_path": _optimal,
     # drawing
@@ -555,6 +568,7 @@ ORACLES = {
     "lp_objective": _sql("SELECT var_ord, weight FROM inc", _FG),
     "lp_optimum_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cex UNION ALL SELECT 'sink', '', 1", _FG, _LP),
     "lp_second_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cex UNION ALL SELECT 'sink', '', 1", _FG, _LP),
+    "lp_first_equations": _sql("SELECT DISTINCT node_id, node_type, 0::BIGINT AS value FROM cfi UNION ALL SELECT 'sink', '', 1", _FG, _LP),
     "lp_certificate": _sql("SELECT var_ord, 0.0::DOUBLE AS violation, 0.0::DOUBLE AS gap FROM inc", _FG),
     "service_model_graph": _sql(
         """SELECT concat('{"name":"', k.model_type, '","periods":[{"id":"', k.dsir_id, '","start":', k.t_begin, ',"end":', k.t_end, ',"connector":[', coalesce(l.c, ''), ']}]}') AS json FROM kept k LEFT JOIN (SELECT dsir_id, string_agg(concat('{"connectTo":"', connect_to, '","connectorType":"start-finish"}'), ',' ORDER BY pos1, pos2, pos3, connect_to) AS c FROM mg GROUP BY dsir_id) l ON l.dsir_id = k.dsir_id""",
