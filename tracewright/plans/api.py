@@ -27,6 +27,11 @@ class Engine:
             self._model_graph = model_graph.graph(self.tables)
         return self._model_graph
 
+    def model_graph_response(self) -> DataFrame:
+        """(json): ``response`` of the model graph built anew, put together as text: a result of very
+        many connectors never stands in memory as records."""
+        return model_graph.graph_json(self.tables)
+
     def flow_graph(self, generate: bool = False) -> FlowGraph:
         if generate or self._flow is None:
             self._flow, self._chosen, self._path, self._timelines = FlowGraph(self.tables), None, None, None
