@@ -124,3 +124,12 @@ def test_a_change_reads_and_writes_touched_buckets_only(spark, tmp_path):
     docs["r"] |= new["r"]
     del every, read
     assert stored(delta.StoredGraphs(spark, f"file://{tmp_path}/graphs", 16)) == whole(built(spark, docs))
+
+
+def test_stored_links_do_not_grow_with_connectors(spark, tmp_path):
+    """Twenty runs of a record with thirty parents have 600 connectors and 20 stored rows."""
+    ends = [record(f"x{k}", MAKERS[0]) for k in range(30)]
+    docs = {"r": {r["_id"]: r for r in [*ends, record("a", MAKERS[2], [f"x{k}" for k in range(30)]), *[record(f"j{k}", MAKERS[0], ["a"]) for k in range(20)]]}, "g": {}, "j": {}}
+    graphs = delta.StoredGraphs(spark, f"file://{tmp_path}/graphs", 4)
+    graphs.build(built(spark, docs))
+    assert graphs.links.stubs().count() == 20 and bag(graphs.links.read()) == bag(model_graph.edges(built(spark, docs))) and graphs.links.read().count() == 600

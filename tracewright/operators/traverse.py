@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import Scratch, cut
+from ..functions.lineage import Scratch, cut, stored
 
 NODE = ["node_id", "node_type"]
 
@@ -53,29 +53,84 @@ def backward(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10
     return _closure(_start(rows, node_id, node_type), step, max_rounds)
 
 
-def backward_paths(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000, burst: int = 4) -> DataFrame:
-    """(node_id, node_type, n_paths): how many paths lead back to each node, the start with its one
-    among them: how often a walk meets it that keeps no note of where it was. Paths are counted, not
-    walked, so the work goes by the steps of the graph; more than 38 digits raise, as cycles do."""
+#: Counts of paths have as many digits as they need: limbs of 18 digits, the lowest first.
+LIMB = 18
+
+
+def _carried(df: DataFrame, limbs: int) -> DataFrame:
+    """Limbs below 10^18 again, with one limb more for what the last one carries."""
+    base, carry, out = F.lit(10**LIMB).cast("decimal(38,0)"), None, []
+    for k in range(limbs):
+        full = F.col(f"n{k}") if carry is None else (F.col(f"n{k}") + F.col("_carry")).cast("decimal(38,0)")
+        df = df.withColumn("_full", full).withColumn("_carry", F.expr("_full div 1000000000000000000").cast("decimal(38,0)"))
+        df = df.withColumn(f"n{k}", (F.col("_full") % base).cast("decimal(38,0)"))
+        carry = True
+        out.append(f"n{k}")
+    return df.withColumn(f"n{limbs}", F.col("_carry")).select(*NODE, *out, f"n{limbs}")
+
+
+def _added(df: DataFrame, limbs: int) -> DataFrame:
+    """One row for each node, with the sum of its counts: limbs + 1 limbs."""
+    return _carried(df.groupBy(*NODE).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(limbs)]), limbs)
+
+
+def _limbs(df: DataFrame) -> int:
+    """How many limbs df has."""
+    return len(df.columns) - len(NODE) - ("depth" in df.columns)
+
+
+def _widened(df: DataFrame, limbs: int) -> DataFrame:
+    return df.select("*", *[F.lit(0).cast("decimal(38,0)").alias(f"n{k}") for k in range(_limbs(df), limbs)])
+
+
+def _slim(df: DataFrame) -> DataFrame:
+    """df without the highest limbs that are 0 in every row."""
+    limbs = _limbs(df)
+    most = df.agg(*[F.max(f"n{k}").alias(f"n{k}") for k in range(limbs)]).first()
+    used = max([k for k in range(limbs) if most[k]], default=0)
+    return df.drop(*[f"n{k}" for k in range(used + 1, limbs)])
+
+
+def path_counts(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000, burst: int = 4) -> DataFrame:
+    """(node_id, node_type, n0, n1 ...): how many paths lead back to each node, the start with its one
+    among them, in limbs of 18 digits, the lowest first: numbers of any length. Paths are counted, not
+    walked, so the work goes by the steps of the graph. Cycles raise."""
     up = rows.select(F.col("dst").alias("node_id"), F.col("dst_type").alias("node_type"), "src", "src_type")
-    last = cut(_start(rows, node_id, node_type).withColumn("n_paths", F.lit(1).cast("decimal(38,0)")))
+    last = _start(rows, node_id, node_type).withColumn("n0", F.lit(1).cast("decimal(38,0)"))
     found = last
     for done in range(0, max_rounds, burst):
-        at, new = last, None
+        at, limbs, new = last, _limbs(last), []
         for depth in range(done + 1, done + burst + 1):
-            at = up.join(at, NODE).groupBy(F.col("src").alias("node_id"), F.col("src_type").alias("node_type")).agg(F.sum("n_paths").alias("n_paths"))
-            met = at.withColumn("depth", F.lit(depth))
-            new = met if new is None else new.unionByName(met)
-        new = cut(new)
+            met = up.join(at, NODE).drop(*NODE).withColumnsRenamed({"src": "node_id", "src_type": "node_type"})
+            at, limbs = _added(met, limbs), limbs + 1  # fewer than 10^18 rows are added up: one limb more holds the sum
+            new.append(at.withColumn("depth", F.lit(depth)))
+        new = stored(reduce(DataFrame.unionByName, [_widened(df, limbs).select(*NODE, "depth", *[f"n{k}" for k in range(limbs)]) for df in new]))
+        new = _slim(new)
+        limbs = max(_limbs(new), _limbs(found))
         last = new.where(F.col("depth") == done + burst).drop("depth")
-        found = found.unionByName(new.drop("depth"))
+        found = _widened(found, limbs).unionByName(_widened(new.drop("depth"), limbs))
         if last.isEmpty():
-            return found.groupBy(*NODE).agg(F.sum("n_paths").alias("n_paths"))
+            return _slim(stored(_added(found, limbs)))
         if done // burst % 16 == 15:
-            found = cut(found.groupBy(*NODE).agg(F.sum("n_paths").alias("n_paths")))
+            found = _slim(stored(_added(found, limbs)))
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
+def written_counts(counts: DataFrame) -> DataFrame:
+    """(node_id, node_type, n_paths): counts of paths as decimal digits."""
+    limbs = range(_limbs(counts) - 1, -1, -1)
+    digits = F.concat(*[F.lpad(F.col(f"n{k}").cast("string"), LIMB, "0") for k in limbs])
+    return counts.select(*NODE, F.regexp_replace(digits, "^0+(?=[0-9])", "").alias("n_paths"))
+
+
+def backward_paths(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000, burst: int = 4) -> DataFrame:
+    """(node_id, node_type, n_paths): ``path_counts`` as numbers of at most 38 digits; more raise.
+    How often a walk meets a node that keeps no note of where it was."""
+    counts = written_counts(path_counts(rows, node_id, node_type, max_rounds, burst))
+    long = F.raise_error(F.lit("more than 38 digits: take path_counts")).cast("decimal(38,0)")
+    return counts.withColumn("n_paths", F.when(F.length("n_paths") > 38, long).otherwise(F.col("n_paths").cast("decimal(38,0)")))
+
+
 def forward(rows: DataFrame, node_id: str, node_type: str, max_rounds: int = 10_000) -> DataFrame:
     """The node and all nodes it led to: source to its edge, and the edge to its other sources and
     its destination."""
