@@ -434,3 +434,30 @@ def test_store(spark, tmp_path):
 def test_empty_store(spark):
     t = tables(spark)
     assert model_graph.graph(t).count() == 0 and FlowGraph(t).rows.count() == 0 and documents.validate(t).count() == 0
+
+
+def test_path_counts_of_any_length(spark):
+    """Each of 14 steps back has a thousand ways: counts of up to 43 digits."""
+    steps = [(f"n{k}", "model", f"n{k + 1}", "model", pos) for k in range(14) for pos in range(1000)]
+    graph = spark.createDataFrame(steps, "dst string, dst_type string, src string, src_type string, pos int")
+    found = {r["node_id"]: r["n_paths"] for r in traverse.written_counts(traverse.path_counts(graph, "n0", "model")).collect()}
+    assert found == {f"n{k}": str(1000**k) for k in range(15)}
+
+
+def test_connectors_of_a_frequent_parent(spark):
+    """A parent that most nodes share is dealt over tasks, and no pair is lost or made twice."""
+    left = spark.createDataFrame([(f"r{k}", "a" if k % 10 else "b", k) for k in range(300)], "dsir_id string, via string, pos1 int")
+    right = spark.createDataFrame([(v, k) for v in "abc" for k in range(150)], "via string, last int")
+    want = Counter((r["dsir_id"], r["via"], k) for r in left.collect() for k in range(150))
+    assert Counter(tuple(r) for r in model_graph.spread(left, right, "via", share=20).select("dsir_id", "via", "last").collect()) == want
+
+
+def test_lists_of_many_and_few_stubs(spark):
+    """A result with more stubs than are grouped by class, and runs that share theirs."""
+    runs = [record(f"j{k:03}", JG, ["p", "q"]) for k in range(50)]
+    t = tables(spark, [*runs, record("p", AM, ["g", "h"]), record("q", AM, ["h"]), record("g", JG), record("h", JG), record("r", PSM, [f"j{k:03}" for k in range(50)])])
+    graph = {r["periods"][0]["id"]: [c["connectTo"] for c in r["periods"][0]["connector"]] for r in model_graph.graph(t).collect()}
+    assert graph["r"] == ["g", "h", "h"] * 50 and all(graph[f"j{k:03}"] == ["g", "h", "h"] for k in range(50)) and graph["g"] == []
+    same = store.to_json(model_graph.graph(t)).exceptAll(model_graph.graph_json(t))
+    assert same.count() == 0 and model_graph.graph_json(t).count() == 53
+    assert rows(model_graph.edge_counts(t).where("dsir_id in ('r', 'j007')"), "dsir_id", "connect_to", "n") == [("j007", "g", 1), ("j007", "h", 2), ("r", "g", 50), ("r", "h", 100)]
