@@ -461,3 +461,18 @@ def test_lists_of_many_and_few_stubs(spark):
     same = store.to_json(model_graph.graph(t)).exceptAll(model_graph.graph_json(t))
     assert same.count() == 0 and model_graph.graph_json(t).count() == 53
     assert rows(model_graph.edge_counts(t).where("dsir_id in ('r', 'j007')"), "dsir_id", "connect_to", "n") == [("j007", "g", 1), ("j007", "h", 2), ("r", "g", 50), ("r", "h", 100)]
+
+
+def test_lists_are_made_last(spark, sf):
+    """Nothing is joined, so nothing is exchanged or sorted, once the lists stand."""
+    from tracewright.sources.orders import tables as derived
+
+    t = derived(spark, sf)
+    for made in (model_graph.graph_json(t), model_graph.graph_digests(t), model_graph.graph(t)):
+        assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+
+
+def test_nodes_without_connectors_keep_an_empty_list(spark):
+    t = tables(spark, [record("alone", JG), record("j", JG, ["p"]), record("p", AM, []), record("k", JG, ["gone"])])
+    assert sorted(r["json"] for r in model_graph.graph_json(t).collect()) == ['{"name":"m","periods":[{"id":"%s","start":0,"end":1,"connector":[]}]}' % x for x in ("alone", "j", "k")]
+    assert rows(model_graph.graph_digests(t), "id", "n_connectors") == [("alone", 0), ("j", 0), ("k", 0)]
