@@ -246,3 +246,30 @@ def test_warc_oracle_on_awkward_pages(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert spark_rows(warc.archive(pages)) == duckdb_rows(con, warc.ORACLE)
+
+
+def notices(n, odd):
+    """Articles with a box that says the same on all pages of a host but one."""
+    return [f"<body><article><h1>Head {i}</h1><div class=box>{'Closed today' if i == odd else 'Open today'}</div>{'<ul><li>x</li></ul>' * (i % 7)}<p>Text {i}</p></article></body>" for i in range(n)]
+
+
+@pytest.mark.parametrize("at_once, held", [(32, 50_000), (2, 1)])
+def test_every_page_of_a_host_has_its_say(spark, at_once, held):
+    """The one page that differs makes the box text of its own, wherever it lies; a host without one keeps its template."""
+    rows = [(i, "https://a.example.com/", h) for i, h in enumerate(notices(60, 41))] + [(100 + i, "https://b.example.com/", h) for i, h in enumerate(notices(60, None))]
+    pages = spark.createDataFrame(rows, PAGE).repartition(5)
+    found = {r["page_id"]: r["text"].split("\n") for r in html.extract(pages).collect()}
+    assert all(("Open today" in found[i]) == (i != 41) and ("Closed today" in found[i]) == (i == 41) for i in range(60))
+    assert not any("Open today" in found[100 + i] for i in range(60))
+    read = pages.select(html.host().alias("host"), "html")
+    same = {r["host"]: json.loads(r["wrapper"]) for r in html.wrappers(read, at_once, held).collect()}
+    for host, wrapper in same.items():
+        for i, _, h in rows:
+            if ("a.ex" in host) == (i < 100):
+                assert html.main_text(h, wrapper, {}).split("\n") == found[i]
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><article><h1>Head</h1><div class=box>Open today</div><p>Text</p></article></body>"
+    rows = spark.createDataFrame([(i, "https://a.example.com/", page) for i in range(9)], PAGE)
+    assert {r["text"] for r in html.extract(rows.repartition(4)).collect()} == {"Head\nOpen today\nText"}
