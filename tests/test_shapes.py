@@ -476,3 +476,27 @@ def test_nodes_without_connectors_keep_an_empty_list(spark):
     t = tables(spark, [record("alone", JG), record("j", JG, ["p"]), record("p", AM, []), record("k", JG, ["gone"])])
     assert sorted(r["json"] for r in model_graph.graph_json(t).collect()) == ['{"name":"m","periods":[{"id":"%s","start":0,"end":1,"connector":[]}]}' % x for x in ("alone", "j", "k")]
     assert rows(model_graph.graph_digests(t), "id", "n_connectors") == [("alone", 0), ("j", 0), ("k", 0)]
+
+
+def test_numbered_tables_are_written_once(spark, monkeypatch, sf):
+    """A flow graph writes its incidences, its edges and its numbered rows: three tables, not five."""
+    from tracewright.functions import ranks
+    from tracewright.operators import flow_graph
+    from tracewright.sources.orders import tables as derived
+
+    written, t = [], derived(spark, sf)
+    for module in (flow_graph, ranks):
+        monkeypatch.setattr(module, "stored", lambda df, kept=module.stored: written.append(df.columns) or kept(df))
+    flow = FlowGraph(t)
+    assert len(written) == 3
+    for df, name in ((flow.edges, "edge_ord"), (flow.rows, "var_ord")):
+        n = df.count()
+        assert sorted(r[0] for r in df.select(name).collect()) == list(range(n))
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_numbers_are_gapless_over_any_partitions(spark, n):
+    from tracewright.functions.ranks import ordinals
+
+    df = spark.createDataFrame([((k * 7919) % 503,) for k in range(n)], "x int")
+    assert sorted(map(tuple, ordinals(df, ["x"], "o").collect())) == [(x, o) for o, x in enumerate(sorted((k * 7919) % 503 for k in range(n)))]
