@@ -82,7 +82,7 @@ def _rests(terms: DataFrame, facts: DataFrame, keep: Scratch) -> tuple[DataFrame
     return both.where(~F.col("all")).select("var_ord"), both.where("all and var_ord <> b").select(F.col("var_ord").alias("a"), "b")
 
 
-def _equals(terms: DataFrame, weights: DataFrame, ends: DataFrame, facts: DataFrame) -> DataFrame:
+def _equals(terms: DataFrame, weights: DataFrame, ends: DataFrame, facts: DataFrame, keep: Scratch) -> DataFrame:
     """The variables that an equal one outweighs where a row admits one at most."""
     few = terms.groupBy("var_ord").agg(F.count("*").alias("k")).where(F.col("k") <= MOST_ROWS).select("var_ord").join(ends.select("var_ord"), "var_ord", "left_anti")
     two, c = F.col("n") == 2, F.col("coef")
@@ -91,9 +91,9 @@ def _equals(terms: DataFrame, weights: DataFrame, ends: DataFrame, facts: DataFr
     says = F.struct(F.when(~two, F.col("row")).alias("row"), c.alias("c"), of_two.alias("two"))
     most = F.when(two, F.lit(None)).when(c > 0, F.floor((F.col("hi") - F.col("low")) / c)).otherwise(F.floor((F.col("high") - F.col("lo")) / -c))
     told = terms.join(few, "var_ord").join(facts, "row").groupBy("var_ord").agg(F.sort_array(F.collect_list(says)).alias("says"), F.min(most).alias("most"))
-    told = told.join(weights, "var_ord")
-    best = told.groupBy("says").agg(F.count("*").alias("k"), F.min("most").alias("most"), F.max(F.struct("w", (-F.col("var_ord")).alias("v"))).alias("best"))
-    best = best.where("k > 1 and most <= 1").select("says", (-F.col("best.v")).alias("stays"))
+    told = keep(told.where("most <= 1").join(weights, "var_ord"))  # those that say the same have the same most
+    best = told.groupBy("says").agg(F.count("*").alias("k"), F.max(F.struct("w", (-F.col("var_ord")).alias("v"))).alias("best"))
+    best = best.where("k > 1").select("says", (-F.col("best.v")).alias("stays"))
     return told.join(best, "says").where("var_ord <> stays").select("var_ord")
 
 
@@ -146,7 +146,7 @@ def _round(out: Reduced, keep: Scratch) -> bool:
         weights = keep(weights.join(zeros, "var_ord", "left_anti"))
         facts = keep(_facts(terms, bounds))
 
-    light = keep(_equals(terms, weights, ends, facts))
+    light = keep(_equals(terms, weights, ends, facts, keep))
     if not light.isEmpty():
         changed = True
         terms, weights = keep(terms.join(light, "var_ord", "left_anti")), keep(weights.join(light, "var_ord", "left_anti"))
