@@ -32,7 +32,9 @@ def outgoing(rows: DataFrame, position: str = "exact") -> DataFrame:
     node as a source."""
     if position not in ("exact", "first"):
         raise ValueError("position is 'exact' or 'first'")
-    found = rows.groupBy(F.col("src").alias("node_id"), F.col("src_type").alias("node_type"), "edge_ord").agg(F.first("edge_type").alias("edge_type"), F.min_by("var_ord", "pos").alias("var_ord"))
+    # one value of a group, so that all readers ask for the same exchange
+    own = F.min_by(F.struct("var_ord", "edge_type"), "pos").alias("own")
+    found = rows.groupBy(F.col("src").alias("node_id"), F.col("src_type").alias("node_type"), "edge_ord").agg(own).select(*NODE, "edge_ord", "own.edge_type", "own.var_ord")
     if position == "exact":
         return found
     first = rows.where("pos = 0").select("edge_ord", F.col("var_ord").alias("v"))
@@ -52,12 +54,15 @@ def outgoing_sums(rows: DataFrame) -> DataFrame:
 def constraints(rows: DataFrame, position: str = "exact") -> DataFrame:
     """(node_id, node_type, var_ord, coef): for each node with edges on both sides one equation
     with right side 0."""
-    both = incoming_sums(rows).join(outgoing_sums(rows), NODE)
+    into = rows.select(F.col("dst").alias("node_id"), F.col("dst_type").alias("node_type"), "edge_ord", "edge_type", "var_ord")
+    edges = into.groupBy(*NODE, "edge_ord").agg(F.count("*").alias("nb"), F.first("edge_type").alias("bt"))
+    first = edges.groupBy(*NODE).agg(F.min(F.struct("edge_ord", "nb", "bt")).alias("first")).select(*NODE, "first.*")
+    both = first.join(outgoing_sums(rows), NODE)
     scale_in = F.when(F.col("ft") == AND, F.col("nf")).otherwise(F.lit(1))
     scale_out = F.when(F.col("bt") == AND, F.col("nb")).otherwise(F.lit(1))
-    both = both.where(F.col("bt").isin(AND, OR) & F.col("ft").isin(AND, OR)).select(*NODE, scale_in.alias("s"), (-scale_out).alias("o"))
-    plus = incoming(rows).join(both, NODE).select(*NODE, "var_ord", F.col("s").cast("long").alias("coef"))
-    minus = outgoing(rows, position).join(both, NODE).select(*NODE, "var_ord", F.col("o").cast("long").alias("coef"))
+    both = both.where(F.col("bt").isin(AND, OR) & F.col("ft").isin(AND, OR)).select(*NODE, "edge_ord", scale_in.alias("s"), (-scale_out).alias("o"))
+    plus = into.join(both, [*NODE, "edge_ord"]).select(*NODE, "var_ord", F.col("s").cast("long").alias("coef"))
+    minus = outgoing(rows, position).join(both.drop("edge_ord"), NODE).select(*NODE, "var_ord", F.col("o").cast("long").alias("coef"))
     return plus.unionByName(minus).groupBy(*NODE, "var_ord").agg(F.sum("coef").alias("coef")).where("coef <> 0")
 
 
