@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from . import store
 
 
@@ -91,7 +92,7 @@ class BucketTable:
         paths = [f"{self.path}/{f}" for b, folders in sorted(buckets.items()) if only is None or b in only for f in folders]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return written(self.spark, self.schema, *paths)
 
     def read(self, snapshot: int | None = None) -> DataFrame:
         """The rows as the last write, or the write of that number, left them."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import AND, OR
-from ..functions.lineage import cut, delete, shared_dir
+from ..functions.lineage import cut, delete, shared_dir, written
 
 NODE = ["node", "node_id", "node_type"]
 
@@ -46,7 +46,7 @@ class ByNode:
             cold.repartition(n_buckets, "node").write.bucketBy(n_buckets, "node").sortBy("node").option("path", f"{self.path}/{side}").saveAsTable(self.names[-1])
             self.cold[side] = self.spark.table(self.names[-1])
             df.join(self.hot_nodes, "node", "left_semi").write.parquet(f"{self.path}/{side}_hot")
-            self.hot[side] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{side}_hot")
+            self.hot[side] = written(self.spark, df.schema, f"{self.path}/{side}_hot")
 
     def __enter__(self) -> ByNode:
         return self
